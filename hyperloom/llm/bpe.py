@@ -26,6 +26,8 @@ LONGEST = 256
 NONE = np.int64(1 << 40)
 #: Cells of one matrix, pieces and tokens of the store; beyond that the store starts again.
 CELLS, STORED = 1 << 21, 3 << 19
+#: Bytes whose spans are hashed together.
+WINDOW = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,6 +110,14 @@ class PieceHash:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(int(self.inverse), m, 1 << 64))])
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The spans' hashes; the spans are in order and don't overlap."""
+        if len(data) <= WINDOW:
+            return self._window(data, starts, ends)
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + WINDOW, WINDOW)).tolist()
+        parts = [(starts[a:b], ends[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return np.concatenate([np.zeros(0, np.uint64), *(self._window(data[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in parts)])
+
+    def _window(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.byte[data] * self.up[: len(data)], out=sums[1:])
