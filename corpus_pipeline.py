@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperloom.llm import langid, packing, quality_rules, secret_scan
+from hyperloom.llm import jaccard, langid, packing, quality_rules, secret_scan
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs, quality_rules.references(docs))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
+    return jaccard.one_of_each(docs)
+
+
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, their secrets masked; `n_chars` follows the new text."""
     return secret_scan.mask_secrets(docs, "text", "n_chars")
@@ -29,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("language_id", language_id), ("quality_rules", quality), ("secret_scans", secrets_masked), ("best_fit_packing", packed)]
+STAGES = [("language_id", language_id), ("quality_rules", quality), ("ngram_jaccard", near_copies), ("secret_scans", secrets_masked), ("best_fit_packing", packed)]
 
 #: SQL has no n-gram filter, no tokenizer and no packing.
 ORACLE_SQL = None
