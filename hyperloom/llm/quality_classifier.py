@@ -24,7 +24,7 @@ LEAST_DOCUMENTS = 5
 GRADES = 3
 PREFIXES = (5, 7)
 #: Rounds and rate of the descent, and the weight of the sum of absolute weights in the loss.
-ROUNDS, RATE, SPARSE = 300, 0.05, 5e-4
+ROUNDS, RATE, SPARSE = 300, 0.05, 2e-4
 #: A document is selected if the highest grade has this probability at least.
 SELECTED = 0.5
 _hash = PieceHash(23)

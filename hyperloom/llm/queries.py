@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, jaccard, langid, media, packing, quality_rules, secret_scan, warc
+from hyperloom.llm import bpe, jaccard, langid, media, packing, quality_classifier, quality_rules, secret_scan, tool_calls, warc
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +31,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", quality_classifier.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality_classifier.grade_documents(docs, quality_classifier.learn(docs, ratings))
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_turns(_table(spark, sf_dir, "conversations"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived_pages(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,10 +61,39 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_media_columns, op2_language_id, op3_byte_bpe, op4_best_fit_packing, op7_warc, op8_ngram_jaccard, op9_secret_scans, op10_quality_rules)
+    for f in (
+        op1_media_columns,
+        op2_language_id,
+        op3_byte_bpe,
+        op4_best_fit_packing,
+        op5_quality_classifier,
+        op6_tool_calls,
+        op7_warc,
+        op8_ngram_jaccard,
+        op9_secret_scans,
+        op10_quality_rules,
+    )
 }
 
 SQL: dict[str, str] = {
+    "op6_tool_calls": r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, role, text, conv_id || '/' || turn AS id, conv_id || '/' || (turn - 2) AS after,
+         count(*) OVER (PARTITION BY conv_id, turn) AS n
+  FROM conversations WHERE coalesce(role, '') <> 'assistant'
+), r AS (
+  SELECT conv_id || '/' || (turn - 1) AS id, coalesce(min(text), '') AS result FROM conversations WHERE role = 'assistant' GROUP BY ALL
+), p AS (
+  SELECT id, CAST(0 AS BIGINT) AS place FROM c WHERE n = 1 AND after NOT IN (SELECT id FROM c WHERE n = 1)
+  UNION ALL
+  SELECT c.id, p.place + 1 FROM c JOIN p ON c.after = p.id WHERE c.n = 1
+)
+SELECT c.id, c.after, c.role AS name, r.id IS NOT NULL AS answered, p.place,
+       CASE WHEN c.n > 1 THEN 'id: not unique' WHEN coalesce(c.role, '') NOT IN ('user', 'system') THEN 'name: unknown tool' WHEN c.text IS NULL THEN 'text: missing' END AS error,
+       '{"arguments":{' || coalesce('"text":' || to_json(c.text) || ',', '') || '"turn":' || c.turn || '},"id":' || to_json(c.id) || ',"name":' || to_json(c.role)
+         || coalesce(',"result":' || to_json(r.result), '') || '}' AS message
+FROM c LEFT JOIN r ON r.id = c.id LEFT JOIN p ON p.id = c.id
+""",
     "op7_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.shared import Tables
@@ -120,7 +120,7 @@ def turns_as_calls(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return calls, results
 
 
-def linked_turns(spark: SparkSession, turns: DataFrame) -> DataFrame:
+def linked_turns(turns: DataFrame) -> DataFrame:
     """All calls of a table of conversations, linked, ordered, checked and serialised."""
     calls, results = turns_as_calls(turns)
     return link_calls(calls, results, TURN_TOOLS)
