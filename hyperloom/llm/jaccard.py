@@ -1,13 +1,15 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Documents are sets of hashed word shingles. Equal sets are one node. Nodes that share a minimum hash are
-partitioned into groups around a leader, and links to the leader are checked exactly; linked nodes are one
-group from then on. The matrix then has a row for each token of a global order's first part (of each set the
-tokens that any partner must share one of) and tells which groups have it. Only groups that share such a
-token meet: the smaller one's sets are queries, the other's sets are stored with the union of their tokens. A
-query's overlap with the union bounds its overlap with every member; a group is opened only if the bound
-allows a link, and then members are compared exactly. Groups are stored in blocks, so no task holds an
-unbounded one, and links within a group are never listed.
+Documents are sets of hashed word shingles. Equal sets are one node. Nodes that agree in two minimum hashes
+are partitioned into groups around a leader, and links to the leader are checked exactly; linked nodes are one
+group from then on. The matrix tells which groups have a token. Its tokens are made so that any two linked
+sets have one in common, and sets that share only a passage have none: shingles are dealt to numbered parts,
+one more than linked sets of that size can differ by, so that one part at least is the same in both; a token is
+the hash of a part's shingles. Only groups with a token in common meet: the smaller one's sets are queries,
+the other's sets are stored with the union of their shingles. A query's overlap with the union bounds its
+overlap with every member; a group is opened only if the bound allows a link, and then members are compared
+exactly. Groups are stored in blocks, so no task holds an unbounded one, and links within a group are never
+listed.
 
 Hash values have 64 bits; sets with equal 128-bit digests count as equal.
 """
@@ -23,9 +25,7 @@ from hyperloom.llm.bpe import PieceHash, mixed
 from hyperloom.llm.columnar import by_batch, id_and_text, steps, utf8_buffers
 from hyperloom.llm.shared import HASHES, KeyFilter, Tables
 
-#: Documents whose tokens are counted to put frequent tokens last, and tokens counted as frequent: only the order depends on it.
-SAMPLE_DOCUMENTS, FREQUENT = 10_000, 100_000
-SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F))
+SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F), np.uint64(0xD1B54A32D192ED03))
 #: Sets of one block of a group, and queries that meet it at once.
 BLOCK = 128
 _word_hash = PieceHash(11)
@@ -78,58 +78,89 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens in three or more of a bounded sample of documents, the rarer first."""
-    rows = docs.select("k").count()
-    some = docs.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < max(1, int(min(1.0, SAMPLE_DOCUMENTS / max(rows, 1)) * (1 << 20))))
-
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, 1):
-                tokens, times = np.unique(shingles(*utf8_buffers(part.column(1)), words)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(times)], ["token", "n"])
-
-    counted = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
-    most = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    return most["token"].to_numpy().view(np.uint64)[::-1].copy()
-
-
-def described(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Each document's set: size, digest, minimum hashes, and the first tokens of the global order."""
-    frequent = frequent_tokens(docs, words)
-    by_value = np.argsort(frequent)
-    values, ranks = frequent[by_value], by_value.astype(np.uint64) | np.uint64(1 << 63)
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """Each document's set: size, digest, and hashes of two pairs of minimum hashes."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, ends = shingles(*utf8_buffers(part.column(1)), words)
         sizes = np.diff(ends)
-        order = flat >> np.uint64(1)
-        if len(values):
-            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-            order = np.where(values[at] == flat, ranks[at], order)
         full = np.flatnonzero(sizes)
-        digests = np.zeros((2, len(sizes)), np.uint64)
-        mins = np.zeros((len(full), len(SEEDS)), np.uint64)
+        out = np.zeros((4, len(sizes)), np.uint64)
         if len(full):
-            for k, seed in enumerate(SEEDS):
-                values_k = mixed(flat ^ seed)
-                mins[:, k] = np.minimum.reduceat(values_k, ends[full])
-                if k < 2:
-                    digests[k][full] = np.add.reduceat(mixed(values_k), ends[full])
-        prefixes = []
-        for a, b, n in zip(ends.tolist(), ends.tolist()[1:], sizes.tolist(), strict=False):
-            if n:
-                p = n - least(n, share) + 1
-                prefixes.append(flat[a:b][np.argpartition(order[a:b], p - 1)[:p]])
-        lengths = np.zeros(len(sizes), np.int64)
-        lengths[full] = [len(p) for p in prefixes]
-        minima = np.zeros(len(sizes), np.int64)
-        minima[full] = len(SEEDS)
-        lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(_signed(values)))
-        cols = [part.column(0), pa.array(sizes), pa.array(_signed(digests[0])), pa.array(_signed(digests[1])), lists(minima, mins.ravel()), lists(lengths, np.concatenate([*prefixes, np.zeros(0, np.uint64)]))]
-        return pa.RecordBatch.from_arrays(cols, ["k", "n", "d1", "d2", "mins", "prefix"])
-
-    return by_batch(docs, make, "k long, n long, d1 long, d2 long, mins array<long>, prefix array<long>")
+            seen = [mixed(flat ^ seed) for seed in SEEDS]
+            least_of = [np.minimum.reduceat(v, ends[full]) for v in seen]
+            for k in range(2):
+                out[k][full] = np.add.reduceat(mixed(seen[k]), ends[full])
+                out[2 + k][full] = mixed(least_of[2 * k] * np.uint64(3) + least_of[2 * k + 1])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(_signed(x)) for x in out)], ["k", "n", "d1", "d2", "m1", "m2"])
+
+    return by_batch(docs, make, "k long, n long, d1 long, d2 long, m1 long, m2 long")
+
+
+class Parts:
+    """How sets are dealt to parts, by size class, so that linked sets have a part in common.
+
+    Linked sets are in one class or in neighbouring ones. Scheme c is for pairs whose smaller set is in class c;
+    such sets differ by `differ[c]` shingles at most, and there are more parts than that. An empty part makes a
+    token only for sets with so many that all untouched parts may be empty; both sets of such a pair have as many.
+    """
+
+    def __init__(self, share: tuple[int, int]):
+        low, high = share
+        self.bounds = [1]
+        while self.bounds[-1] < 1 << 40:
+            self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * high // low)))
+        most = [(b - 1, (b - 1) * high // low) for b in self.bounds[1:]]
+        self.differ = np.array([(a + b) * (high - low) // (high + low) for a, b in most])
+        self.parts = self.differ + np.where(self.differ <= 8, 2, 3 + self.differ // 50)
+
+    def tokens(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix tokens of sets, and their sets; a set of a class without a differing partner has none."""
+        sizes = np.diff(ends)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        own = np.searchsorted(self.bounds, sizes, "right") - 1
+        place = mixed(flat + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(16)
+        value = mixed(flat ^ np.uint64(0xE7037ED1A0B428DB))
+        halves = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
+        out, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for scheme in (own - 1, own):
+            used = (sizes > 0) & (scheme >= 0)
+            used &= np.where(used, self.differ[np.maximum(scheme, 0)], 0) > 0
+            parts = np.where(used, self.parts[np.maximum(scheme, 0)], 0)
+            base = np.cumsum(parts) - parts
+            total = int(parts.sum())
+            if not total:
+                continue
+            shown = used[of]
+            slot = base[of[shown]] + (place[shown] % parts[of[shown]].astype(np.uint64)).astype(np.int64)
+            sums = [np.bincount(slot, h[shown], total) for h in halves]  # whole numbers, exact under 2**53
+            filled = np.bincount(slot, minlength=total) > 0
+            slot_of = np.repeat(np.arange(len(sizes)), parts)
+            empty = np.bincount(slot_of[~filled], minlength=len(sizes))
+            take = filled | (empty >= parts - self.differ[np.maximum(scheme, 0)])[slot_of]
+            number = (np.arange(total) - base[slot_of])[take].astype(np.uint64)
+            name = mixed(scheme[slot_of[take]].astype(np.uint64) << np.uint64(40) | number)
+            out.append(mixed(mixed(sums[0][take].astype(np.uint64)) + sums[1][take].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + name))
+            sets.append(slot_of[take])
+        return np.concatenate(out), np.concatenate(sets)
+
+
+def matrix_rows(docs: DataFrame, words: int, share: tuple[int, int], only: KeyFilter | None = None) -> DataFrame:
+    """`k` and `tokens` of every document; with `only`, just the tokens that may be among its keys."""
+    parts = Parts(share)
+    chosen = docs.sparkSession.sparkContext.broadcast(only)
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, sets = parts.tokens(*shingles(*utf8_buffers(part.column(1)), words))
+        if chosen.value is not None:
+            may = chosen.value.has_tokens(tokens)
+            tokens, sets = tokens[may], sets[may]
+        order = np.argsort(sets, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(sets, minlength=part.num_rows)))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(tokens[order])))
+        return pa.RecordBatch.from_arrays([part.column(0), lists], ["k", "tokens"])
+
+    return by_batch(docs, make, "k long, tokens array<long>")
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -192,18 +223,17 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return labelled
 
 
-def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of groups that have a token of the matrix in common; `sets` has `label` and `prefix`."""
-    rows = sets.select("label", F.explode("prefix").alias("token"))
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    chosen = sets.sparkSession.sparkContext.broadcast(KeyFilter.of(several))
+def _shared_tokens(docs: DataFrame, labels: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of groups that have a token of the matrix in common; `labels` has `node` and `label`.
 
-    def some(batches):
-        for batch in batches:
-            hashes = batch.column(2).flatten().to_numpy().reshape(-1, HASHES)
-            yield batch.select([0, 1]).filter(pa.array(chosen.value.has(hashes)))
-
-    few = rows.withColumn("h", KeyFilter.places("token")).mapInArrow(some, "label long, token long").distinct()
+    A first pass finds the tokens of several groups, from each token's least and greatest label; a second one
+    takes the groups of these tokens alone.
+    """
+    labels = labels.withColumnRenamed("node", "k")
+    rows = matrix_rows(docs, words, share).join(labels, "k").select("label", F.explode("tokens").alias("token"))
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0)
+    few = again.join(labels, "k").select("label", F.explode("tokens").alias("token")).distinct()
 
     def pairs(batches):
         token, have = None, np.zeros(0, np.int64)
@@ -287,30 +317,26 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     one key are one document; a row with a null key links with nothing, and its component is null. Extra columns are not
     read; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     docs = id_and_text(df, key, text)
-    tables = Tables(spark)
-    all_sets = tables.write(described(docs, words, share))
-    meta = all_sets.select("k", "n", "d1", "d2")
-    full = all_sets.where("n > 0 and k is not null")
-    sets = tables.write(full.groupBy("n", "d1", "d2").agg(F.min("k").alias("node"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
+    tables = Tables(df.sparkSession)
+    meta = tables.write(described(docs, words))
+    full = meta.where("n > 0 and k is not null")
+    sets = tables.write(full.groupBy("n", "d1", "d2").agg(F.min("k").alias("node"), F.min("m1").alias("m1"), F.min("m2").alias("m2")))
     # groups around leaders
-    seats = sets.select("node", F.posexplode("mins").alias("seed", "least"))
-    leaders = seats.groupBy("seed", "least").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
-    stars = tables.write(seats.join(leaders, ["seed", "least"]).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    seats = sets.select("node", F.explode(F.array("m1", "m2")).alias("seat"))
+    leaders = seats.groupBy("seat").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
+    stars = tables.write(seats.join(leaders, "seat").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     near = components(checked(stars, docs, words, share), tables)
-    labelled = sets.select("node", "prefix").join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "prefix")
-    grouped = tables.write(labelled)
+    nodes = sets.select("node").distinct()
+    labels = tables.write(nodes.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     # groups that share a token of the matrix
-    pairs = tables.write(_shared_tokens(grouped))
-    members = grouped.select("node", "label").distinct()
-    links = tables.write(_opened(pairs, members, docs, words, share))
-    ends = members.toDF("node", "label")
-    joined = links.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    pairs = tables.write(_shared_tokens(docs, labels, words, share))
+    links = tables.write(_opened(pairs, labels, docs, words, share))
+    joined = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = components(joined, tables)
-    final = grouped.select("node", "label").distinct().join(merged.toDF("label", "whole"), "label", "left").select("node", F.coalesce("whole", "label").alias("component_id"))
+    final = labels.join(merged.toDF("label", "whole"), "label", "left").select("node", F.coalesce("whole", "label").alias("component_id"))
     of_set = tables.write(sets.select("n", "d1", "d2", "node").join(final, "node").select("n", "d1", "d2", "component_id"))
-    tables.drop(grouped, pairs, links, stars, sets)
+    tables.drop(labels, pairs, links, stars, sets)
     out = meta.join(of_set, ["n", "d1", "d2"], "left")
     chosen = F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), chosen.alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.columnar import shared_dir
+from hyperloom.llm.columnar import settled, shared_dir
 
 #: Bits of a filter at most (8 MB) and by key; beyond that it lets more keys through, and nothing else changes.
 MOST_BITS, BITS_PER_KEY, HASHES = 1 << 26, 16, 3
@@ -50,7 +50,27 @@ class KeyFilter:
         name = keys.columns[0]
         bits = min(MOST_BITS, 1 << max(10, (BITS_PER_KEY * keys.count() - 1).bit_length()))
         places = F.array(*(F.pmod(F.xxhash64(F.col(name), F.lit(k)), F.lit(bits)) for k in range(HASHES)))
-        at = keys.where(F.col(name).isNotNull()).select(F.explode(places).alias("at"))
+        return cls._made(keys.where(F.col(name).isNotNull()).select(F.explode(places).alias("at")), bits)
+
+    @classmethod
+    def of_tokens(cls, keys: DataFrame) -> KeyFilter:
+        """From a one-column table of numbers that are hashes themselves: their own bits are the places."""
+        name = keys.columns[0]
+        keys = settled(keys)
+        bits = min(MOST_BITS, 1 << max(10, (BITS_PER_KEY * keys.count() - 1).bit_length()))
+        at = keys.select(F.explode(F.array(*(F.expr(f"shiftrightunsigned({name}, {19 * k}) & {bits - 1}") for k in range(HASHES)))).alias("at"))
+        return cls._made(at, bits)
+
+    def has_tokens(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether hashes may be in a set made by `of_tokens`."""
+        out = np.ones(len(tokens), bool)
+        for k in range(HASHES):
+            at = ((tokens >> np.uint64(19 * k)) & np.uint64((len(self.words) << 6) - 1)).astype(np.int64)
+            out &= (self.words[at >> 6] >> (at & 63) & 1).astype(bool)
+        return out
+
+    @classmethod
+    def _made(cls, at: DataFrame, bits: int) -> KeyFilter:
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
         out = np.zeros(bits >> 6, np.int64)
         out[words["word"].to_numpy()] = words["bits"].to_numpy()
