@@ -22,6 +22,11 @@ def traces(placed: DataFrame, inc: DataFrame, k: int) -> DataFrame:
     return everyone.join(found, "sample", "left").select("sample", F.coalesce("traces", F.array().cast("array<int>")).alias("traces"))
 
 
+def _has(bits: int):
+    """Whether a mask has all these bits."""
+    return lambda m: m.bitwiseAND(F.lit(bits)) == bits
+
+
 def gaifman_bits(masks: Column, k: int) -> Column:
     """The number of the graph in which vertices of one trace are neighbours."""
     total, out = graphlets.pair_count(k), F.lit(0).cast("long")
@@ -29,7 +34,7 @@ def gaifman_bits(masks: Column, k: int) -> Column:
         for j in range(i):
             both = 1 << (k - 1 - i) | 1 << (k - 1 - j)
             place = 1 << (total - 1 - (i * (i - 1) // 2 + j))
-            out = out + F.when(F.exists(masks, lambda m, both=both: m.bitwiseAND(F.lit(both)) == both), place).otherwise(0)
+            out = out + F.when(F.exists(masks, _has(both)), place).otherwise(0)
     return out
 
 
