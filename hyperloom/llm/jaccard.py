@@ -1,14 +1,15 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents are sets of hashed word shingles. Equal sets are one node. Nodes that agree in two minimum hashes
-are partitioned into groups around a leader, and links to the leader are checked exactly; linked nodes are one
-group from then on. The matrix tells which groups have a token. Its tokens are made so that any two linked
-sets have one in common, and sets that share only a passage have none: shingles are dealt to numbered parts,
-one more than linked sets of that size can differ by, so that one part at least is the same in both; a token is
-the hash of a part's shingles. Only groups with a token in common meet: the smaller one's sets are queries,
-the other's sets are stored with the union of their shingles. A query's overlap with the union bounds its
-overlap with every member; a group is opened only if the bound allows a link, and then members are compared
-exactly. Groups are stored in blocks, so no task holds an unbounded one, and links within a group are never
+are checked exactly against the least of them; linked nodes have one label from then on. Then nodes are
+partitioned into groups: the nodes of a large label, and otherwise nodes that share a minimum hash with many;
+groups are stored in blocks, so no task holds an unbounded one. The matrix tells which blocks have a token. Its
+tokens are made so that any two linked sets have one in common, and sets that share only a passage have none:
+shingles are dealt to numbered parts, one more than linked sets of that size can differ by, so that one part
+at least is the same in both; a token is the hash of a part's shingles. A set queries the blocks that share a
+token with it and hold another label; each is stored with the union of its sets' shingles. A query's overlap
+with the union bounds its overlap with every member; a block is opened only if the bound allows a link, and
+then its members are compared exactly, for each label until one is linked. Links within a label are never
 listed.
 
 Hash values have 64 bits; sets with equal 128-bit digests count as equal.
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.bpe import PieceHash, mixed
-from hyperloom.llm.columnar import by_batch, id_and_text, steps, utf8_buffers
+from hyperloom.llm.columnar import by_batch, id_and_text, settled, steps, utf8_buffers
 from hyperloom.llm.shared import HASHES, KeyFilter, Tables
 
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F), np.uint64(0xD1B54A32D192ED03))
-#: Sets of one block of a group, and queries that meet it at once.
-BLOCK = 128
+MINIMA = ("m1", "m2", "m3", "m4")
+#: Sets of one block of a group, and queries that meet it at once; nodes of a label that has blocks of its own.
+BLOCK, LARGE = 128, 64
 _word_hash = PieceHash(11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,22 +81,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """Each document's set: size, digest, and hashes of two pairs of minimum hashes."""
+    """Each document's set: size, digest, and four minimum hashes."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, ends = shingles(*utf8_buffers(part.column(1)), words)
         sizes = np.diff(ends)
         full = np.flatnonzero(sizes)
-        out = np.zeros((4, len(sizes)), np.uint64)
-        if len(full):
-            seen = [mixed(flat ^ seed) for seed in SEEDS]
-            least_of = [np.minimum.reduceat(v, ends[full]) for v in seen]
-            for k in range(2):
-                out[k][full] = np.add.reduceat(mixed(seen[k]), ends[full])
-                out[2 + k][full] = mixed(least_of[2 * k] * np.uint64(3) + least_of[2 * k + 1])
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(_signed(x)) for x in out)], ["k", "n", "d1", "d2", "m1", "m2"])
+        out = np.zeros((2 + len(SEEDS), len(sizes)), np.uint64)
+        for k, seed in enumerate(SEEDS if len(full) else ()):
+            seen = mixed(flat ^ seed)
+            out[2 + k][full] = np.minimum.reduceat(seen, ends[full])
+            if k < 2:
+                out[k][full] = np.add.reduceat(mixed(seen), ends[full])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(_signed(x)) for x in out)], ["k", "n", "d1", "d2", *MINIMA])
 
-    return by_batch(docs, make, "k long, n long, d1 long, d2 long, m1 long, m2 long")
+    return by_batch(docs, make, f"k long, n long, d1 long, d2 long, {', '.join(f'{m} long' for m in MINIMA)}")
 
 
 class Parts:
@@ -195,117 +196,145 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """`node` and `label`, the least node of its component, for all nodes of edges (a, b).
 
-    Rounds of contraction: every node goes to the neighbour, or stays, that comes first in the round's random
-    order, and edges follow their ends; a constant share of the nodes goes in each round.
+    Rounds of contraction: every node goes to the neighbour, or stays, that comes first in the round's order,
+    and edges follow their ends. The first round orders by the nodes themselves, which takes stars around their
+    least node at once; every other round's order is random, so that a constant share of the nodes goes.
     """
     edges = tables.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    goes = None
-    turn = 0
+    hooks: list[DataFrame] = []
     while not edges.isEmpty():
+        turn = len(hooks)
         near = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "to")
-        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("id"))  # noqa: E731, B023
-        hook = near.groupBy("node").agg(F.min(place("to")).alias("best")).select("node", F.least(F.col("best"), place("node").alias("best"))["id"].alias("to"))
-        hook = tables.write(hook)
-        moved = edges.join(hook.toDF("a", "ta"), "a").join(hook.toDF("b", "tb"), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        order = (lambda c: F.xxhash64(F.col(c), F.lit(turn))) if turn % 2 else (lambda c: F.col(c))  # noqa: B023
+        place = lambda c: F.struct(order(c).alias("first"), F.col(c).alias("id"))  # noqa: E731, B023
+        hook = near.groupBy("node").agg(F.min(place("to")).alias("best")).select("node", F.least(F.col("best"), place("node"))["id"].alias("to"))
+        hooks.append(tables.write(hook))
+        moved = edges.join(hooks[-1].toDF("a", "ta"), "a").join(hooks[-1].toDF("b", "tb"), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         old, edges = edges, tables.write(moved.where("a <> b").distinct())
-        if goes is None:
-            made = hook
-        else:
-            made = tables.write(goes.toDF("node", "at").join(hook.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("to")))
-            tables.drop(goes, hook)
-        goes = made
         tables.drop(old)
-        turn += 1
-    if goes is None:
+    if not hooks:
         return edges.toDF("node", "label")
-    labelled = tables.write(goes.join(goes.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label"))
-    tables.drop(goes, edges)
+    goes = hooks[0]
+    for n, hook in enumerate(hooks[1:], 1):
+        goes = goes.toDF("node", "at").join(hook.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
+        goes = tables.write(goes) if n % 6 == 0 else goes
+    if len(hooks) > 1:  # in the first round's order the least node may have gone elsewhere since
+        goes = goes.join(goes.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label")
+    labelled = tables.write(goes.toDF("node", "label"))
+    tables.drop(edges, *hooks)
     return labelled
 
 
-def _shared_tokens(docs: DataFrame, labels: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of groups that have a token of the matrix in common; `labels` has `node` and `label`.
+def blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`node`, `label`, `block` and whether its block is `own` to a large label; `sets` has `node` and the minima.
 
-    A first pass finds the tokens of several groups, from each token's least and greatest label; a second one
-    takes the groups of these tokens alone.
+    A node of a small label goes with the largest number of nodes that have a minimum hash of its own in common.
+    Blocks of large labels have the lesser numbers.
     """
-    labels = labels.withColumnRenamed("node", "k")
-    rows = matrix_rows(docs, words, share).join(labels, "k").select("label", F.explode("tokens").alias("token"))
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0)
-    few = again.join(labels, "k").select("label", F.explode("tokens").alias("token")).distinct()
-
-    def pairs(batches):
-        token, have = None, np.zeros(0, np.int64)
-        for batch in batches:
-            tokens, labels = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
-            out = []
-            for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], len(tokens)], strict=True):
-                own = labels[a:b]
-                have = np.concatenate([have, own]) if tokens[a] == token else own
-                token = tokens[a]
-                fresh = len(have) - len(own)
-                for k in range(fresh, len(have)):
-                    if k:
-                        out.append(np.stack([np.minimum(have[:k], have[k]), np.maximum(have[:k], have[k])]))
-                if sum(x.shape[1] for x in out) > 1 << 18:
-                    made = np.unique(np.concatenate(out, 1), axis=1)
-                    out = []
-                    yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
-            if out:
-                made = np.unique(np.concatenate(out, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
-
-    return few.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").where("a <> b").distinct()
-
-
-def _opened(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between nodes of the paired groups; `members` has `node` and `label`.
-
-    The smaller group's sets are queries; the other group's are stored in blocks, each with its token union.
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+    seats = sets.select("node", F.posexplode(F.array(*MINIMA)).alias("seed", "least"))
+    full = seats.groupBy("seed", "least").agg(F.count("*").alias("n"))
+    chosen = seats.join(full, ["seed", "least"]).groupBy("node").agg(F.max(F.struct("n", "seed", "least")).alias("seat"))
+    made = sized.join(chosen, "node").withColumn("own", F.col("size") >= LARGE)
+    key = F.when(F.col("own"), F.xxhash64("label")).otherwise(F.xxhash64("seat.seed", "seat.least"))
+    bucket = F.pmod(F.xxhash64("node", F.lit(77)), F.ceil(F.when(F.col("own"), F.col("size")).otherwise(F.col("seat.n")) / BLOCK))
+    number = F.pmod(F.xxhash64(key, bucket), F.lit(1 << 62)) + F.when(F.col("own"), 0).otherwise(F.lit(1 << 62))
+    return made.select("node", "label", number.alias("block"), "own")
+
+
+def _asked(docs: DataFrame, members: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """`query` (a node) and `block`: nodes and the blocks with another label that share a token of the matrix.
+
+    Of two nodes the one in the greater block asks. A first pass finds the tokens of several labels, from each
+    token's least and greatest one; a second one takes the rows of these tokens alone. Blocks of a large label
+    stand for all their nodes in a token's row.
     """
-    ends = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
-    own = members.join(ends, "label", "left_semi")
-    sizes = own.groupBy("label").agg(F.count("*").alias("n"))
-    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    small, large = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))
-    turned = sized.select(small.alias("asks"), large.alias("group"), F.greatest("na", "nb").alias("n"))
-    queries = turned.join(own.select(F.col("label").alias("asks"), F.col("node").alias("query")), "asks").select("query", "group", "n")
-    asked = queries.groupBy("group").agg(F.max("n").alias("n"), F.count("*").alias("asked"))
-    blocks, parts = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("asked") / BLOCK)
-    part_of = lambda c, of: F.pmod(F.xxhash64(F.col(c)), of)
-    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), of - 1))
-    stored = asked.join(own.select(F.col("label").alias("group"), "node"), "group").select("group", "node", part_of("node", blocks).alias("block"), each(parts).alias("part"))
-    asking = queries.drop("n").join(asked, "group").select("group", F.col("query").alias("node"), part_of("query", parts).alias("part"), each(blocks).alias("block"))
-    texts = texts_of(docs, own.select("node"))
+    at = members.withColumnRenamed("node", "k")
+    several = matrix_rows(docs, words, share).join(at.select("k", "label"), "k").select("label", F.explode("tokens").alias("token"))
+    several = several.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0).join(at, "k")
+    few = again.select(F.explode("tokens").alias("token"), "block", "label", F.when(~F.col("own"), F.col("k")).alias("node")).distinct()
+
+    def asks(batches):
+        held: list[pa.RecordBatch] = []
+
+        def made(table: pa.Table) -> pa.RecordBatch:
+            token, block, label = (table[c].to_numpy() for c in ("token", "block", "label"))
+            lone = table["node"].is_null().to_numpy(zero_copy_only=False)
+            node = table["node"].fill_null(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+            out = [np.zeros((4, 0), np.int64)]
+            for a, b in zip(cuts.tolist(), cuts.tolist()[1:], strict=False):
+                if b - a == 1:
+                    continue
+                rows = slice(a, b)
+                number, of = np.unique(block[rows], return_inverse=True)
+                lo, hi = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+                np.minimum.at(lo, of, label[rows])
+                np.maximum.at(hi, of, label[rows])
+                for first in range(a, b, 4096):  # rows at a time, to bound the grid
+                    part = slice(first, min(b, first + 4096))
+                    meets = (number[None, :] <= block[part][:, None]) & ((lo[None, :] != label[part][:, None]) | (hi[None, :] != label[part][:, None]))
+                    x, y = np.nonzero(meets)
+                    out.append(np.stack([np.where(lone[part][x], 0, node[part][x]), np.where(lone[part][x], block[part][x], 0), lone[part][x].astype(np.int64), number[y]]))
+            found = np.unique(np.concatenate(out, 1), axis=1)
+            single = found[2] == 0
+            return pa.RecordBatch.from_arrays([pa.array(found[0], mask=~single), pa.array(found[1], mask=single), pa.array(found[3])], ["node", "from", "block"])
+
+        for batch in batches:  # sorted by token: rows of a token may go on in the next batch
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            last = table["token"][-1].as_py()
+            same = int(np.searchsorted(table["token"].to_numpy(), last))
+            if same:
+                yield made(table.slice(0, same))
+            held = table.slice(same).combine_chunks().to_batches()
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    found = few.repartition("token").sortWithinPartitions("token").mapInArrow(asks, "node long, from long, block long").distinct()
+    found = settled(found)
+    whole = found.where("node is null").join(members.select(F.col("block").alias("from"), F.col("node").alias("query")), "from").select("query", "block")
+    return found.where("node is not null").select(F.col("node").alias("query"), "block").union(whole).distinct()
+
+
+def _opened(queries: DataFrame, members: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between queries and nodes of the blocks that they ask, one for each other label at most."""
+    asked = queries.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    stored = members.select("node", "label", "block").join(asked, "block").select("node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asking = queries.join(asked, "block").join(members.select(F.col("node").alias("query"), "label"), "query")
+    asking = asking.select(F.col("query").alias("node"), "label", "block", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"))
+    texts = texts_of(docs, stored.select("node").union(asking.select("node")).distinct())
 
     def with_text(df: DataFrame, side: str) -> DataFrame:
-        own = df.select(F.col("node").alias("k"), *(F.col(c).alias(f"{c}_{side}") for c in ("group", "block", "part")))
-        return own.join(texts, "k").select(F.col("k").alias(f"node_{side}"), *own.columns[1:], F.col("t").alias(f"t_{side}"))
-
+        own = df.select(F.col("node").alias("k"), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "part", "label")))
+        return own.join(texts, "k").select(*(F.col(c) for c in own.columns[1:]), F.col("k").alias(f"node_{side}"), F.col("t").alias(f"t_{side}"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows and right.num_rows:
             held, held_at = shingles(*utf8_buffers(left["t_of"].combine_chunks()), words)
             union = np.unique(held)
-            nodes = left["node_of"].to_pylist()
+            nodes, names = left["node_of"].to_pylist(), left["label_of"].to_pylist()
             asks, asks_at = shingles(*utf8_buffers(right["t_by"].combine_chunks()), words)
-            for k, node in enumerate(right["node_by"].to_pylist()):
+            for k, (node, name) in enumerate(zip(right["node_by"].to_pylist(), right["label_by"].to_pylist(), strict=True)):
                 query = asks[asks_at[k] : asks_at[k + 1]]
+                if not len(query) or not len(union):
+                    continue
                 at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                if not len(query) or int((union[at] == query).sum()) < least(len(query), share):
+                if int((union[at] == query).sum()) < least(len(query), share):
                     continue
+                done = {name}
                 for j, other in enumerate(nodes):
-                    if linked(query, held[held_at[j] : held_at[j + 1]], share):
+                    if names[j] not in done and linked(query, held[held_at[j] : held_at[j + 1]], share):
+                        done.add(names[j])
                         found_a.append(node)
                         found_b.append(other)
-                        break
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     left, right = with_text(stored, "of"), with_text(asking, "by")
-    return left.groupBy(*left.columns[1:4]).cogroup(right.groupBy(*right.columns[1:4])).applyInArrow(meet, "a long, b long")
+    return left.groupBy("block_of", "part_of").cogroup(right.groupBy("block_by", "part_by")).applyInArrow(meet, "a long, b long")
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -321,22 +350,23 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     tables = Tables(df.sparkSession)
     meta = tables.write(described(docs, words))
     full = meta.where("n > 0 and k is not null")
-    sets = tables.write(full.groupBy("n", "d1", "d2").agg(F.min("k").alias("node"), F.min("m1").alias("m1"), F.min("m2").alias("m2")))
-    # groups around leaders
-    seats = sets.select("node", F.explode(F.array("m1", "m2")).alias("seat"))
+    sets = tables.write(full.groupBy("n", "d1", "d2").agg(F.min("k").alias("node"), *(F.min(m).alias(m) for m in MINIMA)))
+    # labels around leaders
+    seats = sets.select("node", F.explode(F.array(F.xxhash64(F.lit(1), *MINIMA[:2]), F.xxhash64(F.lit(2), *MINIMA[2:]))).alias("seat"))
     leaders = seats.groupBy("seat").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
     stars = tables.write(seats.join(leaders, "seat").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     near = components(checked(stars, docs, words, share), tables)
     nodes = sets.select("node").distinct()
     labels = tables.write(nodes.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    # groups that share a token of the matrix
-    pairs = tables.write(_shared_tokens(docs, labels, words, share))
-    links = tables.write(_opened(pairs, labels, docs, words, share))
+    # blocks of groups, and who shares a token with them
+    members = tables.write(blocks(sets, labels))
+    queries = tables.write(_asked(docs, members, words, share))
+    links = tables.write(_opened(queries, members, docs, words, share))
     joined = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = components(joined, tables)
     final = labels.join(merged.toDF("label", "whole"), "label", "left").select("node", F.coalesce("whole", "label").alias("component_id"))
     of_set = tables.write(sets.select("n", "d1", "d2", "node").join(final, "node").select("n", "d1", "d2", "component_id"))
-    tables.drop(labels, pairs, links, stars, sets)
+    tables.drop(labels, members, queries, links, stars, sets)
     out = meta.join(of_set, ["n", "d1", "d2"], "left")
     chosen = F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), chosen.alias("component_id"))
