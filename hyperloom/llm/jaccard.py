@@ -102,10 +102,14 @@ class Parts:
     """How sets are dealt to parts, by size class, so that linked sets have a part in common.
 
     Linked sets are in one class or in neighbouring ones. Scheme c is for pairs whose smaller set is in class c;
-    such sets differ by `differ[c]` shingles at most, and there are more parts than that. An empty part makes a
-    token only for sets with so many that all untouched parts may be empty; both sets of such a pair have as many.
+    such sets differ by `differ[c]` shingles at most, and there are more parts than that. Empty parts make no
+    tokens, as many sets would share them. If a linked pair has no token for that, all its untouched parts are
+    empty, so both sets have `parts - differ` empty ones at least; such sets are dealt once more, by another hash,
+    and after DEALS times their empty parts make tokens too.
     """
 
+    DEALS = 3
+
     def __init__(self, share: tuple[int, int]):
         low, high = share
         self.bounds = [1]
@@ -113,36 +117,40 @@ class Parts:
             self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * high // low)))
         most = [(b - 1, (b - 1) * high // low) for b in self.bounds[1:]]
         self.differ = np.array([(a + b) * (high - low) // (high + low) for a, b in most])
-        self.parts = self.differ + np.where(self.differ <= 8, 2, 3 + self.differ // 50)
+        # the parts that a set of the class's least size leaves empty, about
+        empty = (self.differ + 1) * np.exp(-np.array(self.bounds[:-1]) / (self.differ + 1))
+        self.parts = self.differ + 1 + np.ceil(2 * empty).astype(np.int64)
 
     def tokens(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The matrix tokens of sets, and their sets; a set of a class without a differing partner has none."""
         sizes = np.diff(ends)
         of = np.repeat(np.arange(len(sizes)), sizes)
         own = np.searchsorted(self.bounds, sizes, "right") - 1
-        place = mixed(flat + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(16)
         value = mixed(flat ^ np.uint64(0xE7037ED1A0B428DB))
         halves = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
         out, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for scheme in (own - 1, own):
             used = (sizes > 0) & (scheme >= 0)
             used &= np.where(used, self.differ[np.maximum(scheme, 0)], 0) > 0
-            parts = np.where(used, self.parts[np.maximum(scheme, 0)], 0)
-            base = np.cumsum(parts) - parts
-            total = int(parts.sum())
-            if not total:
-                continue
-            shown = used[of]
-            slot = base[of[shown]] + (place[shown] % parts[of[shown]].astype(np.uint64)).astype(np.int64)
-            sums = [np.bincount(slot, h[shown], total) for h in halves]  # whole numbers, exact under 2**53
-            filled = np.bincount(slot, minlength=total) > 0
-            slot_of = np.repeat(np.arange(len(sizes)), parts)
-            empty = np.bincount(slot_of[~filled], minlength=len(sizes))
-            take = filled | (empty >= parts - self.differ[np.maximum(scheme, 0)])[slot_of]
-            number = (np.arange(total) - base[slot_of])[take].astype(np.uint64)
-            name = mixed(scheme[slot_of[take]].astype(np.uint64) << np.uint64(40) | number)
-            out.append(mixed(mixed(sums[0][take].astype(np.uint64)) + sums[1][take].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + name))
-            sets.append(slot_of[take])
+            for deal in range(self.DEALS):
+                parts = np.where(used, self.parts[np.maximum(scheme, 0)], 0)
+                base = np.cumsum(parts) - parts
+                total = int(parts.sum())
+                if not total:
+                    break
+                shown = used[of]
+                place = mixed(flat[shown] + np.uint64(0x632BE59BD9B4E019 + deal)) >> np.uint64(16)
+                slot = base[of[shown]] + (place % parts[of[shown]].astype(np.uint64)).astype(np.int64)
+                sums = [np.bincount(slot, h[shown], total) for h in halves]  # whole numbers, exact under 2**53
+                filled = np.bincount(slot, minlength=total) > 0
+                slot_of = np.repeat(np.arange(len(sizes)), parts)
+                sparse = used & (np.bincount(slot_of[~filled], minlength=len(sizes)) >= parts - self.differ[np.maximum(scheme, 0)])
+                take = filled | sparse[slot_of] if deal == self.DEALS - 1 else filled
+                number = (np.arange(total) - base[slot_of])[take].astype(np.uint64)
+                name = mixed(scheme[slot_of[take]].astype(np.uint64) << np.uint64(40) | np.uint64(deal << 36) | number)
+                out.append(mixed(mixed(sums[0][take].astype(np.uint64)) + sums[1][take].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + name))
+                sets.append(slot_of[take])
+                used = sparse
         return np.concatenate(out), np.concatenate(sets)
 
 
