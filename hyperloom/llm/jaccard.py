@@ -30,6 +30,8 @@ SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64
 MINIMA = ("m1", "m2", "m3", "m4")
 #: Sets of one block of a group, and queries that meet it at once; nodes of a label that has blocks of its own.
 BLOCK, LARGE = 128, 64
+#: Nodes of a block with one token from which on the block asks as a whole, in one row instead of many.
+TOGETHER = 16
 _word_hash = PieceHash(11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -255,7 +257,7 @@ def _asked(docs: DataFrame, members: DataFrame, words: int, share: tuple[int, in
 
     Of two nodes the one in the greater block asks. A first pass finds the tokens of several labels, from each
     token's least and greatest one; a second one takes the rows of these tokens alone. Blocks of a large label
-    stand for all their nodes in a token's row.
+    stand for all their nodes in a token's row, and so does a block with many nodes that have the token.
     """
     at = members.withColumnRenamed("node", "k")
     several = matrix_rows(docs, words, share).join(at.select("k", "label"), "k").select("label", F.explode("tokens").alias("token"))
@@ -268,7 +270,7 @@ def _asked(docs: DataFrame, members: DataFrame, words: int, share: tuple[int, in
 
         def made(table: pa.Table) -> pa.RecordBatch:
             token, block, label = (table[c].to_numpy() for c in ("token", "block", "label"))
-            lone = table["node"].is_null().to_numpy(zero_copy_only=False)
+            lone = table["node"].is_null().to_numpy(zero_copy_only=False).copy()
             node = table["node"].fill_null(0).to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
             out = [np.zeros((4, 0), np.int64)]
@@ -280,6 +282,7 @@ def _asked(docs: DataFrame, members: DataFrame, words: int, share: tuple[int, in
                 lo, hi = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
                 np.minimum.at(lo, of, label[rows])
                 np.maximum.at(hi, of, label[rows])
+                lone[rows] |= (np.bincount(of) >= TOGETHER)[of]
                 for first in range(a, b, 4096):  # rows at a time, to bound the grid
                     part = slice(first, min(b, first + 4096))
                     meets = (number[None, :] <= block[part][:, None]) & ((lo[None, :] != label[part][:, None]) | (hi[None, :] != label[part][:, None]))
