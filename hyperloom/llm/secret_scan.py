@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers.
 
 A text's own matches come first. Then every layer is unwrapped: URL escapes, Unicode escapes, base64 runs and
-what they hold compressed each give a new layer, which is scanned and unwrapped again until nothing new
+all that they hold compressed, in any number of members and levels, each give a new layer, which is scanned and unwrapped again until nothing new
 appears; a layer seen before is not taken twice, which ends cycles. Each layer knows the span of the original
 text that each of its characters came from, so that all spans are places in that text.
 """
@@ -33,6 +33,9 @@ ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Characters that all decompressed layers of one text may have together: a guard against bombs.
 MOST_EXPANDED = 64 << 20
+#: Where a gzip, bzip2 or zlib member may start; bytes that one call inflates.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
+STEP = 1 << 20
 MASK = "[secret]"
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -77,16 +80,49 @@ def _text_of(raw: bytes) -> tuple[str, np.ndarray] | None:
     return text, np.flatnonzero((data & 0xC0) != 0x80)
 
 
-def _decompressed(raw: bytes, most: int) -> bytes | None:
-    """What gzip, zlib or bzip2 bytes hold, up to `most`; None if they are none of these."""
+def _member(raw: bytes, at: int, most: int) -> tuple[bytes, int]:
+    """What one compressed member holds, up to `most`, and where it ends; whole steps before an error count."""
+    made = bz2.BZ2Decompressor() if raw[at : at + 1] == b"B" else zlib.decompressobj(47)
+    out, rest = [], raw[at:]
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj(47).decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
+        while most > 0 and not made.eof:
+            out.append(made.decompress(rest, min(most, STEP)))
+            rest = getattr(made, "unconsumed_tail", b"")
+            most -= len(out[-1])
+            if not out[-1] and not rest:
+                break
     except (zlib.error, OSError, EOFError):
         pass
-    return None
+    return b"".join(out), len(raw) - len(made.unused_data) if made.eof else at + 1
+
+
+def _members(raw: bytes, most: int) -> list[bytes]:
+    """What the gzip, zlib and bzip2 members in some bytes hold, up to `most` in all; members that follow each other are one."""
+    out: list[bytes] = []
+    at, last = 0, -1
+    while most > 0 and (m := MAGIC.search(raw, at)):
+        held, at = _member(raw, m.start(), most)
+        if held:
+            if last >= 0 and not raw[last : m.start()].strip(b"\0"):
+                out[-1] += held
+            else:
+                out.append(held)
+            most -= len(held)
+        last = at if at > m.start() + 1 else -1
+    return out
+
+
+def _decompressed(raw: bytes, most: int) -> list[bytes]:
+    """All that bytes hold compressed, and what is compressed in that, up to `most` in all."""
+    out, work, seen = [], [raw], {raw}
+    while work:
+        for held in _members(work.pop(), most):
+            most -= len(held)
+            if held not in seen:
+                seen.add(held)
+                out.append(held)
+                work.append(held)
+    return out
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -145,11 +181,11 @@ def unwrap(layer: Layer, most: int) -> list[Layer]:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        if (inner := _decompressed(raw, most)) is not None:
+        for inner in _decompressed(raw, most):
             if (found := _text_of(inner)) is not None:
                 n = len(found[0])
                 out.append(layer.part(found[0], np.full(n, m.start()), np.full(n, m.end())))
-        elif (found := _text_of(raw)) is not None:
+        if (found := _text_of(raw)) is not None:
             at = found[1]
             out.append(layer.part(found[0], m.start() + at * 4 // 3, np.minimum(m.start() + -(-np.append(at[1:], len(raw)) * 4 // 3), m.end())))
     return out

@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import json
@@ -157,6 +158,27 @@ def test_hidden_secrets_map_into_the_text(hidden):
     assert own and all(9 <= a < b <= 9 + len(hidden) for a, b in own)
 
 
+FILLER = b"nothing to see here\n"
+
+
+@pytest.mark.parametrize(
+    "held",
+    [
+        gzip.compress(FILLER) + gzip.compress(ASSIGNED.encode()),
+        gzip.compress(FILLER) + bytes(512) + gzip.compress(ASSIGNED.encode()),
+        gzip.compress(FILLER + ASSIGNED[:9].encode()) + gzip.compress(ASSIGNED[9:].encode()),
+        bz2.compress(FILLER) + bz2.compress(ASSIGNED.encode()),
+        zlib.compress(FILLER) + zlib.compress(ASSIGNED.encode()),
+        gzip.compress(gzip.compress(ASSIGNED.encode())),
+        zlib.compress(bz2.compress(gzip.compress(FILLER) + gzip.compress(ASSIGNED.encode()))),
+        gzip.compress(FILLER) + gzip.compress(gzip.compress(ASSIGNED.encode())),
+    ],
+)
+def test_compressed_members_and_levels(held):
+    hidden = base64.b64encode(held).decode()
+    assert secret_scan.find_secrets(f"é before {hidden} after")[1] == [(9, 0, 9 + len(hidden))]
+
+
 def test_spans_of_escapes_are_exact():
     text = "x token%3Dabcdef1 y"
     assert secret_scan.find_secrets(text)[1] == [(2, 0, 17)]
