@@ -1,6 +1,6 @@
 """Secret scans with a worklist of decoded layers.
 
-A text's own matches come first. Then every layer is unwrapped: URL escapes, Unicode escapes, base64 runs and
+A text's own matches come first. Then every layer is unwrapped: URL escapes, Unicode escapes, base64 runs (also over line ends, at all four alignments) and
 all that they hold compressed, in any number of members and levels, each give a new layer, which is scanned and unwrapped again until nothing new
 appears; a layer seen before is not taken twice, which ends cycles. Each layer knows the span of the original
 text that each of its characters came from, so that all spans are places in that text.
@@ -8,7 +8,6 @@ text that each of its characters came from, so that all spans are places in that
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -30,7 +29,11 @@ VALUE, KEY = 6, 20
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Runs that line ends part, as `base64` and MIME write them.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+STANDARD = str.maketrans("-_", "+/")
 #: Characters that all decompressed layers of one text may have together: a guard against bombs.
 MOST_EXPANDED = 64 << 20
 #: Where a gzip, bzip2 or zlib member may start; bytes that one call inflates.
@@ -80,6 +83,17 @@ def _text_of(raw: bytes) -> tuple[str, np.ndarray] | None:
     return text, np.flatnonzero((data & 0xC0) != 0x80)
 
 
+def _any_text(raw: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as text, each byte that is not UTF-8 as a lone surrogate, and the byte where each character starts."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if len(text) == len(raw):
+        return text, np.arange(len(raw))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes < 0xDD00)] = 1
+    return text, np.cumsum(sizes) - sizes
+
+
 def _member(raw: bytes, at: int, most: int) -> tuple[bytes, int]:
     """What one compressed member holds, up to `most`, and where it ends; whole steps before an error count."""
     made = bz2.BZ2Decompressor() if raw[at : at + 1] == b"B" else zlib.decompressobj(47)
@@ -173,24 +187,37 @@ def unwrap(layer: Layer, most: int) -> list[Layer]:
         out.append(made)
     if "\\" in layer.text and (made := _escapes(layer, UNICODE, _unicode)):
         out.append(made)
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        for inner in _decompressed(raw, most):
-            if (found := _text_of(inner)) is not None:
-                n = len(found[0])
-                out.append(layer.part(found[0], np.full(n, m.start()), np.full(n, m.end())))
-        if (found := _text_of(raw)) is not None:
-            at = found[1]
-            out.append(layer.part(found[0], m.start() + at * 4 // 3, np.minimum(m.start() + -(-np.append(at[1:], len(raw)) * 4 // 3), m.end())))
+    for chars, places, start, end in _runs(layer.text):
+        for shift in range(4):
+            n = len(chars) - shift
+            n -= n % 4 == 1
+            if n < 2:
+                continue
+            raw = binascii.a2b_base64(chars[shift : shift + n] + "=" * (-n % 4))
+            for inner in _decompressed(raw, most):
+                if (found := _text_of(inner)) is not None:
+                    size = len(found[0])
+                    out.append(layer.part(found[0], np.full(size, start), np.full(size, end)))
+            text, at = _any_text(raw)
+            first, last = shift + at * 4 // 3, np.minimum(shift + -(-np.append(at[1:], len(raw)) * 4 // 3), len(chars))
+            out.append(layer.part(text, places[first], places[last - 1] + 1))
     return out
 
 
+def _runs(text: str) -> list[tuple[str, np.ndarray, int, int]]:
+    """Base64 runs, alone and joined over line ends: the characters, the place of each, and the span of all."""
+    out = []
+    for m in BASE64.finditer(text):
+        chars = m[0].rstrip("=")
+        out.append((chars, m.start() + np.arange(len(chars)), m.start(), m.end()))
+    for m in WRAPPED.finditer(text) if "\n" in text or "\r" in text else ():
+        lines = [(x[0], m.start() + np.arange(*x.span())) for x in RUN.finditer(m[0])]
+        chars = "".join(x for x, _ in lines)
+        if len(chars) >= 16:
+            out.append((chars, np.concatenate([x for _, x in lines]), m.start(), m.end()))
+    return [(chars.translate(STANDARD), *rest) for chars, *rest in out]
+
+
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
     """The text's own spans, and all spans with those of its decoded layers; both by start, kind and end."""
     base = sorted(scan(text))

@@ -179,6 +179,36 @@ def test_compressed_members_and_levels(held):
     assert secret_scan.find_secrets(f"é before {hidden} after")[1] == [(9, 0, 9 + len(hidden))]
 
 
+NOISE = random.Random(3).randbytes(300)
+WRAPPED_TEXT = "The quick brown fox jumps over the lazy dog, " + ASSIGNED + " and runs."
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        base64.encodebytes(gzip.compress(NOISE + ASSIGNED.encode())).decode(),
+        base64.encodebytes(WRAPPED_TEXT.encode()).decode().replace("\n", "\r\n"),
+        "data: |\n  " + base64.encodebytes(WRAPPED_TEXT.encode()).decode().replace("\n", "\n  ") + "\nend",
+        "cGFzc3dvcmQg\nPSAiaHVudGVy\nMjJ4Ig==",
+        "/cb/" + base64.b64encode(ASSIGNED.encode()).decode(),
+        "id-7_" + base64.urlsafe_b64encode(ASSIGNED.encode()).decode(),
+        "x" + base64.b64encode(b"\xff" + ASSIGNED.encode()).decode(),
+        "/b/" + base64.b64encode(gzip.compress(ASSIGNED.encode())).decode(),
+        base64.b64encode(ASSIGNED.encode()).decode().rstrip("=") + "A",
+    ],
+)
+def test_base64_over_lines_and_at_all_alignments(hidden):
+    text = f"é before {hidden} after"
+    base, spans = secret_scan.find_secrets(text)
+    assert not base and any(9 <= a < b <= 9 + len(hidden) for a, _, b in spans)
+    assert secret_scan.find_secrets(secret_scan.masked(text, spans))[1] == []
+
+
+def test_spans_over_lines_are_exact():
+    text = "## cGFzc3dvcmQg\n  PSBodW50ZXIy\n  MnggYW5kIGFsc28="
+    assert secret_scan.find_secrets(text)[1] == [(3, 0, text.index("MnggYW") + 3)]
+
+
 def test_spans_of_escapes_are_exact():
     text = "x token%3Dabcdef1 y"
     assert secret_scan.find_secrets(text)[1] == [(2, 0, 17)]
