@@ -71,19 +71,7 @@ class Layer:
         return Layer(text, self.first[starts], self.last[np.maximum(ends - 1, starts)])
 
 
-def _text_of(raw: bytes) -> tuple[str, np.ndarray] | None:
-    """Bytes as UTF-8 text and the byte where each character starts; None if it is none, or not for reading."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\n\r\t" for c in text) < len(text):
-        return None
-    data = np.frombuffer(raw, np.uint8)
-    return text, np.flatnonzero((data & 0xC0) != 0x80)
-
-
-def _any_text(raw: bytes) -> tuple[str, np.ndarray]:
+def _text_of(raw: bytes) -> tuple[str, np.ndarray]:
     """Bytes as text, each byte that is not UTF-8 as a lone surrogate, and the byte where each character starts."""
     text = raw.decode("utf-8", "surrogateescape")
     if len(text) == len(raw):
@@ -158,11 +146,9 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return layer.part("".join([*parts, layer.text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1]))
 
 
-def _url(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
+def _url(run: str) -> tuple[str, np.ndarray, np.ndarray]:
     raw = bytes.fromhex(run.replace("%", ""))
-    if (found := _text_of(raw)) is None:
-        return None
-    text, at = found
+    text, at = _text_of(raw)
     return text, 3 * at, 3 * np.append(at[1:], len(raw))
 
 
@@ -195,10 +181,9 @@ def unwrap(layer: Layer, most: int) -> list[Layer]:
                 continue
             raw = binascii.a2b_base64(chars[shift : shift + n] + "=" * (-n % 4))
             for inner in _decompressed(raw, most):
-                if (found := _text_of(inner)) is not None:
-                    size = len(found[0])
-                    out.append(layer.part(found[0], np.full(size, start), np.full(size, end)))
-            text, at = _any_text(raw)
+                held = inner.decode("utf-8", "surrogateescape")
+                out.append(layer.part(held, np.full(len(held), start), np.full(len(held), end)))
+            text, at = _text_of(raw)
             first, last = shift + at * 4 // 3, np.minimum(shift + -(-np.append(at[1:], len(raw)) * 4 // 3), len(chars))
             out.append(layer.part(text, places[first], places[last - 1] + 1))
     return out

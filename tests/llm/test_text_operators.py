@@ -204,6 +204,22 @@ def test_base64_over_lines_and_at_all_alignments(hidden):
     assert secret_scan.find_secrets(secret_scan.masked(text, spans))[1] == []
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u202f", "\u3000", "\u00ad", "\u200b", "\ufeff", "\f", "\0", "\x1b"])
+def test_layers_with_odd_characters(odd):
+    inner = f"{odd}{ASSIGNED} {odd}"
+    for hidden in ("".join(f"%{b:02X}" for b in inner.encode()), base64.b64encode(inner.encode()).decode(), base64.b64encode(zlib.compress(inner.encode())).decode()):
+        ((a, kind, b),) = secret_scan.find_secrets(f"é before {hidden} after")[1]
+        assert kind == 0 and 9 <= a < b <= 9 + len(hidden)
+
+
+def test_layers_with_bytes_that_are_not_utf8():
+    inner = b"caf\xe9 \xff" + ASSIGNED.encode()
+    run = "".join(f"%{b:02X}" for b in inner)
+    assert secret_scan.find_secrets(f"x {run}")[1] == [(2 + 3 * 6, 0, 2 + 3 * (6 + len(ASSIGNED) - 1))]
+    hidden = base64.b64encode(gzip.compress(inner)).decode()
+    assert secret_scan.find_secrets(f"x {hidden}")[1] == [(2, 0, 2 + len(hidden))]
+
+
 def test_spans_over_lines_are_exact():
     text = "## cGFzc3dvcmQg\n  PSBodW50ZXIy\n  MnggYW5kIGFsc28="
     assert secret_scan.find_secrets(text)[1] == [(3, 0, text.index("MnggYW") + 3)]
