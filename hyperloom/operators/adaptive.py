@@ -61,7 +61,7 @@ def adaptive_sample(adj: DataFrame, table: dict[int, DataFrame], k: int, rounds:
     for turn in range(rounds if tree is not None else 0):
         part = top.join(F.broadcast(dim.where(F.col("repr") == tree).select("s")), "s", "left_semi")
         drawn = sampling.sampled_treelets(spark, tables.distribution(part), round_size, totals[tree], sampling.B + seen, mixed=True)
-        placed = settled(sampling.occurrences(settled(drawn), adj, table, k, seed=turn))
+        placed = settled(sampling.occurrences(settled(drawn), adj, table, k, seed=turn, mixed=True))
         classes = motifs.canonical_graphs(motifs.induced_bits(placed, adj, k), "bits", k)
         found = Counter({r["footprint"]: r["count"] for r in classes.groupBy("footprint").count().collect()})
         covered = {g for g in state.counts if state.counts[g] >= COVERED}

@@ -1,7 +1,9 @@
 """Drawing trees and occurrences in proportion to their counts, so that SQL can draw the same.
 
 Draw i takes the number (i * A + B) mod T: with B uniform in 0..T-1 each draw is uniform, though draws depend
-on each other; `mixed` draws use a hash instead. The choice of children uses whole-number arithmetic as well.
+on each other. The choice of children uses whole-number arithmetic as well. Both numbers are small where samples
+are few (400 samples: under 1.06e12 and 1.62e7), so that of a greater total or weight only the front is drawn:
+`mixed` draws and choices use a hash instead, which reaches all of any total; SQL has no such hash.
 """
 
 from __future__ import annotations
@@ -19,10 +21,16 @@ STEP_SAMPLE, STEP_SLOT, STEP_SEED = 40503, 9973, 7919
 BUCKETS = 1024
 
 
+def _hashed(*parts: Column | str) -> Column:
+    """A number under 2 ** 126 from a hash of these, wide enough for all totals of up to 38 digits."""
+    high, low = (F.pmod(F.xxhash64(*parts, F.lit(i)).cast("decimal(38,0)"), F.lit(str(1 << bits)).cast("decimal(38,0)")).cast("decimal(20,0)") for i, bits in ((1, 62), (2, 64)))
+    return (high * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
 def draws(spark: SparkSession, n: int, total: int, b: int = B, mixed: bool = False) -> DataFrame:
     """`sample` from 0 to n-1 and its number `r` under the total."""
     ids = spark.range(n).withColumnRenamed("id", "sample")
-    r = F.pmod(F.xxhash64("sample", F.lit(b)).cast("decimal(38,0)"), F.lit(total).cast("decimal(38,0)")) if mixed else F.expr(f"(cast(sample as decimal(20,0)) * {A} + {b}) % cast({total} as decimal(38,0))")
+    r = F.pmod(_hashed("sample", F.lit(b)), F.lit(str(total)).cast("decimal(38,0)")) if mixed else F.expr(f"(cast(sample as decimal(20,0)) * {A} + {b}) % cast({total} as decimal(38,0))")
     return ids.withColumn("r", r.cast("decimal(38,0)"))
 
 
@@ -40,13 +48,17 @@ def sampled_treelets(spark: SparkSession, distribution: DataFrame, n: int, total
     return located(draws(spark, n, total, b, mixed), distribution, total).select("sample", "v", "s", "c", "n")
 
 
-def _target(weight: Column, seed: int) -> Column:
+def _target(weight: Column, seed: int, mixed: bool = False) -> Column:
+    if mixed:
+        return F.pmod(_hashed("sample", "q", F.lit(seed)), weight.cast("decimal(38,0)"))
     return F.pmod(F.col("sample") * STEP_SAMPLE + F.col("q") * STEP_SLOT + F.lit(seed * STEP_SEED), weight)
 
 
-def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame], k: int, seed: int = 0) -> DataFrame:
+def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame], k: int, seed: int = 0, mixed: bool = False) -> DataFrame:
     """`sample`, `pos`, `v`: for each sampled tree one of its places in the graph, in proportion to their number.
 
+    Without `mixed` this holds for weights under the number of samples times STEP_SAMPLE only.
+
     A tree at u splits into its first child, at a neighbour, and the rest, at u. Candidates are found once for
     each distinct tree at a vertex, and each sample picks the one that its number falls on. A child stands
     behind its root and before the rest; at most k - 1 rounds.
@@ -70,7 +82,7 @@ def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame]
                 options = made if options is None else options.unionByName(made)
         way = Window.partitionBy("v", "s", "c").orderBy("w", "c2")
         ranged = options.withColumn("hi", F.sum("weight").over(way.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(Window.partitionBy("v", "s", "c")))
-        picked = tasks.join(ranged, ["v", "s", "c"]).withColumn("at", _target(F.col("total"), seed)).where("at >= hi - weight and at < hi")
+        picked = tasks.join(ranged, ["v", "s", "c"]).withColumn("at", _target(F.col("total"), seed, mixed)).where("at >= hi - weight and at < hi")
         picked = settled(picked.select("sample", "v", "w", "q", "c1", "c2", "comp_s", "split_s", "split_k"))
         placed = placed.unionByName(picked.select("sample", F.col("q").alias("pos"), F.col("w").alias("v")))
         child = picked.select("sample", F.col("w").alias("v"), F.col("split_s").alias("s"), F.col("c2").alias("c"), (F.col("q") + 1).alias("q"))

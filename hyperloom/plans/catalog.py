@@ -509,8 +509,8 @@ def exact_census_k3(spark, sf_dir):
 def canonical_k4(spark, sf_dir):
     adj, made = _counts(spark, sf_dir, 4)
     made[4] = settled(made[4])
-    drawn = settled(sampling.sampled_treelets(spark, tables.distribution(made[4]), SAMPLES, _total(made[4])))
-    placed = settled(sampling.occurrences(drawn, adj, made, 4))
+    drawn = settled(sampling.sampled_treelets(spark, tables.distribution(made[4]), SAMPLES, _total(made[4]), mixed=True))
+    placed = settled(sampling.occurrences(drawn, adj, made, 4, mixed=True))
     found = motifs.canonical_traces(motifs.traces(placed, basket(spark, sf_dir), 4), "traces", 4)
     return found.groupBy("footprint").agg(F.count("*").alias("samples"))
 

@@ -115,6 +115,22 @@ def test_every_tree_is_drawn_as_often_as_it_counts(spark):
     assert got == {(r["v"], r["s"], r["c"]): r["n"] for r in made[3].collect()}
 
 
+def test_mixed_choices_reach_all_neighbours_of_a_hub(spark):
+    hub, near = 1000, 100
+    ((_, edge, comp, *_),) = treelets.rows(2)
+    adj = spark.createDataFrame([(hub, i) for i in range(near)], "u long, v long")
+    ones = spark.createDataFrame([(hub, comp, 1, 1)] + [(i, 0, 2, 10**9) for i in range(near)], "v long, s long, c int, n long")
+    trees = spark.range(400).selectExpr("id as sample", f"{hub}L as v", f"{edge}L as s", "3 as c")
+    hits = [r["v"] for r in sampling.occurrences(trees, adj, {1: ones}, 2, mixed=True).where("pos = 1").collect()]
+    assert len(hits) == 400 and len(set(hits)) > 90 and 150 < sum(v < near // 2 for v in hits) < 250
+
+
+def test_mixed_draws_reach_all_of_a_great_total(spark):
+    for total in (7, 10**13, 3 * 10**18, 10**37):
+        drawn = [int(r["r"]) for r in sampling.draws(spark, 400, total, mixed=True).collect()]
+        assert all(0 <= r < total for r in drawn) and 140 < sum(r < total // 2 for r in drawn) < 260
+
+
 def test_census_and_classes(spark):
     def want(edges, k):
         found: dict = {}
