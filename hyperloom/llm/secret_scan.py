@@ -13,6 +13,8 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Runs that line ends part, as `base64` and MIME write them.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 STANDARD = str.maketrans("-_", "+/")
-#: Characters that all decompressed layers of one text may have together: a guard against bombs.
+#: Bytes that all decompressed layers of one text may have together, a guard against bombs; what is beyond is
+#: read in windows, where nothing is decompressed again.
 MOST_EXPANDED = 64 << 20
 #: Where a gzip, bzip2 or zlib member may start; bytes that one call inflates.
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
 STEP = 1 << 20
+#: Bytes that two windows share.
+OVERLAP = 1 << 16
 MASK = "[secret]"
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -114,17 +119,39 @@ def _members(raw: bytes, most: int) -> list[bytes]:
     return out
 
 
-def _decompressed(raw: bytes, most: int) -> list[bytes]:
-    """All that bytes hold compressed, and what is compressed in that, up to `most` in all."""
-    out, work, seen = [], [raw], {raw}
+def _decompressed(raw: bytes, left: list[int]) -> tuple[list[bytes], list[bytes]]:
+    """All that bytes hold compressed, and what is compressed in that, as far as `left` goes; and the bytes not read to their end."""
+    out, cut, work, seen = [], [], [raw], {raw}
     while work:
-        for held in _members(work.pop(), most):
-            most -= len(held)
+        source = work.pop()
+        for held in _members(source, left[0]):
+            left[0] -= len(held)
             if held not in seen:
                 seen.add(held)
                 out.append(held)
                 work.append(held)
-    return out
+        if left[0] <= 0 and MAGIC.search(source):
+            cut.append(source)
+    return out, cut
+
+
+def _windows(raw: bytes) -> Iterator[bytes]:
+    """What the members in some bytes hold, of any size, in windows that overlap."""
+    at, kept = 0, b""
+    while m := MAGIC.search(raw, at):
+        made = bz2.BZ2Decompressor() if raw[m.start() : m.start() + 1] == b"B" else zlib.decompressobj(47)
+        rest = raw[m.start() :]
+        try:
+            while not made.eof:
+                held = made.decompress(rest, STEP)
+                rest = getattr(made, "unconsumed_tail", b"")
+                if not held and not rest:
+                    break
+                yield kept + held
+                kept = (kept + held)[-OVERLAP:]
+        except (zlib.error, OSError, EOFError):
+            pass
+        at = len(raw) - len(made.unused_data) if made.eof else m.start() + 1
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -166,13 +193,12 @@ def _unicode(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     return text, np.array([a for _, a, _ in out]), np.array([b for _, _, b in out])
 
 
-def unwrap(layer: Layer, most: int) -> list[Layer]:
-    """The layers that one step of decoding finds in a layer."""
-    out = []
+def unwrap(layer: Layer, left: list[int]) -> Iterator[Layer]:
+    """The layers that one step of decoding finds in a layer; what it decompresses is taken from `left`."""
     if "%" in layer.text and (made := _escapes(layer, URL, _url)):
-        out.append(made)
+        yield made
     if "\\" in layer.text and (made := _escapes(layer, UNICODE, _unicode)):
-        out.append(made)
+        yield made
     for chars, places, start, end in _runs(layer.text):
         for shift in range(4):
             n = len(chars) - shift
@@ -180,13 +206,13 @@ def unwrap(layer: Layer, most: int) -> list[Layer]:
             if n < 2:
                 continue
             raw = binascii.a2b_base64(chars[shift : shift + n] + "=" * (-n % 4))
-            for inner in _decompressed(raw, most):
+            whole, cut = _decompressed(raw, left)
+            for inner in chain(whole, *map(_windows, cut)):
                 held = inner.decode("utf-8", "surrogateescape")
-                out.append(layer.part(held, np.full(len(held), start), np.full(len(held), end)))
+                yield layer.part(held, np.full(len(held), start), np.full(len(held), end))
             text, at = _text_of(raw)
             first, last = shift + at * 4 // 3, np.minimum(shift + -(-np.append(at[1:], len(raw)) * 4 // 3), len(chars))
-            out.append(layer.part(text, places[first], places[last - 1] + 1))
-    return out
+            yield layer.part(text, places[first], places[last - 1] + 1)
 
 
 def _runs(text: str) -> list[tuple[str, np.ndarray, int, int]]:
@@ -207,21 +233,21 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
     """The text's own spans, and all spans with those of its decoded layers; both by start, kind and end."""
     base = sorted(scan(text))
     found = set(base)
-    work = unwrap(Layer(text), MOST_EXPANDED)
+    left = [MOST_EXPANDED]
+    work = [unwrap(Layer(text), left)]
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    left = MOST_EXPANDED
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         digest = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass") + (b"" if layer.first is None else layer.first.tobytes())).digest()
         if digest in seen:
             continue
         seen.add(digest)
-        left -= len(layer.text)
         for start, kind, end in scan(layer.text):
             a, b = layer.origin(start, end)
             found.add((a, kind, b))
-        if left > 0:
-            work += unwrap(layer, left)
+        work.append(unwrap(layer, left))
     return base, sorted(found)
 
 

@@ -220,6 +220,19 @@ def test_layers_with_bytes_that_are_not_utf8():
     assert secret_scan.find_secrets(f"x {hidden}")[1] == [(2, 0, 2 + len(hidden))]
 
 
+def test_layers_past_the_limit(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_EXPANDED", 1000)
+    monkeypatch.setattr(secret_scan, "STEP", 64, raising=False)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 48, raising=False)
+    plain = "é" * 20_000 + urllib.parse.quote(urllib.parse.quote(urllib.parse.quote(ASSIGNED, safe=""), safe=""), safe="")
+    assert len(secret_scan.find_secrets(plain)[1]) == 1
+    for pad in range(64):
+        held = b"\xc3\xa9" * 2000 + b"x" * pad + ASSIGNED.encode() + b" more" * 500
+        for made in (gzip.compress(held), bz2.compress(held), gzip.compress(held[:1500]) + gzip.compress(held[1500:])):
+            hidden = base64.b64encode(made).decode()
+            assert (2, 0, 2 + len(hidden)) in secret_scan.find_secrets(f"x {hidden}")[1]
+
+
 def test_spans_over_lines_are_exact():
     text = "## cGFzc3dvcmQg\n  PSBodW50ZXIy\n  MnggYW5kIGFsc28="
     assert secret_scan.find_secrets(text)[1] == [(3, 0, text.index("MnggYW") + 3)]
