@@ -26,9 +26,11 @@ LONGEST = 256
 NONE = np.int64(1 << 40)
 #: Cells of one matrix, pieces and tokens of the store; beyond that the store starts again.
 CELLS, STORED = 1 << 21, 3 << 19
-#: Bytes whose spans are hashed together.
-WINDOW = 8 << 20
+#: Bytes of a span that its hash takes in rounds.
+CHAINED = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,6 +49,16 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[at + np.arange(total)]
 
 
+def _appended(flat: np.ndarray, ends: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A growing store of lists, `flat` used up to the last of `ends`, with lists of these sizes behind it."""
+    used = int(ends[-1])
+    total = used + len(more)
+    if total > len(flat):
+        flat = np.concatenate([flat[:used], np.zeros(total, flat.dtype)])
+    flat[used:total] = more
+    return flat, np.concatenate([ends, used + np.cumsum(sizes)])
+
+
 class HashTable:
     """From 64-bit keys other than 0 to numbers, by open addressing over arrays."""
 
@@ -94,34 +106,30 @@ class HashTable:
 
 
 class PieceHash:
-    """64-bit hashes of many byte spans at once, from prefix sums of a polynomial over random byte values."""
+    """64-bit hashes of many byte spans at once: eight bytes a round go through a mixing chain that starts at the span's length.
+
+    Spans of over 64 bytes take a cryptographic hash one by one.
+    """
 
     def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(0xBF58476D1CE4E5B9 | 1)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(int(self.base), m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(int(self.inverse), m, 1 << 64))])
+        self.seed = mixed(np.array([seed], np.uint64))[0]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The spans' hashes; the spans are in order and don't overlap."""
-        if len(data) <= WINDOW:
-            return self._window(data, starts, ends)
-        cuts = np.searchsorted(starts, np.arange(0, len(data) + WINDOW, WINDOW)).tolist()
-        parts = [(starts[a:b], ends[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        return np.concatenate([np.zeros(0, np.uint64), *(self._window(data[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in parts)])
-
-    def _window(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.byte[data] * self.up[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+        """The hashes of data[start : end] of all pairs."""
+        left = ends - starts
+        out = mixed(left.astype(np.uint64) * _ODD + self.seed)
+        room = np.zeros(len(data) + 8, np.uint8)
+        room[: len(data)] = data
+        eight = np.ndarray(len(data) + 1, "<u8", room, strides=(1,))  # the eight bytes from every place on
+        for k in np.flatnonzero(left > CHAINED).tolist():
+            out[k] ^= np.uint64(int.from_bytes(hashlib.blake2b(room[starts[k] : ends[k]], digest_size=8).digest(), "little"))
+        going = np.flatnonzero((left > 0) & (left <= CHAINED))
+        at, left = starts[going], left[going]
+        while len(going):
+            out[going] = mixed(out[going] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+            on = left > 8
+            going, at, left = going[on], at[on] + 8, left[on] - 8
+        return out
 
 
 class ByteBpe:
@@ -177,21 +185,41 @@ class ByteBpe:
     def forget(self) -> None:
         """An empty store of pieces."""
         self.seen = HashTable(16)
-        self.store_ids = np.zeros(1 << 16, np.int32)
-        self.store_ends = np.zeros(1, np.int64)
+        self.store_ids, self.store_ends = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+        self.store_bytes, self.store_byte_ends = np.zeros(1 << 18, np.uint8), np.zeros(1, np.int64)
         if self.whole:  # a piece that is a token stays whole, whatever its merges give
             ids = np.flatnonzero(self.sizes)
-            self._keep(self.hash(self.bytes, self.starts[ids], self.starts[ids] + self.sizes[ids]) | np.uint64(1), ids, np.ones(len(ids), np.int64))
-
-    def _keep(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Pieces and their ids, for the store."""
-        used = int(self.store_ends[-1])
-        total = used + len(ids)
-        if total > len(self.store_ids):
-            self.store_ids = np.concatenate([self.store_ids[:used], np.zeros(total, np.int32)])
-        self.store_ids[used:total] = ids
-        self.seen.put(keys, len(self.store_ends) - 1 + np.arange(len(keys)))
-        self.store_ends = np.concatenate([self.store_ends, used + np.cumsum(counts)])
+            self._keep(self.bytes, self.starts[ids], self.starts[ids] + self.sizes[ids], ids, np.ones(len(ids), np.int64))
+
+    def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Pieces of distinct keys, their bytes and their ids, for the store."""
+        self.seen.put(self._piece_keys(data, starts, ends), len(self.store_ends) - 1 + np.arange(len(starts)))
+        self.store_ids, self.store_ends = _appended(self.store_ids, self.store_ends, ids, counts)
+        self.store_bytes, self.store_byte_ends = _appended(self.store_bytes, self.store_byte_ends, ragged(data, starts, ends - starts), ends - starts)
+
+    def _piece_keys(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.hash(data, starts, ends) | np.uint64(1)
+
+    def _others(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The spans whose bytes aren't those of the stored piece that has their key."""
+        sizes = ends - starts
+        kept = self.store_byte_ends[at]
+        other = self.store_byte_ends[at + 1] - kept != sizes
+        like = np.flatnonzero(~other)
+        differ = ragged(self.store_bytes, kept[like], sizes[like]) != ragged(data, starts[like], sizes[like])
+        if differ.any():
+            other[like[np.searchsorted(np.cumsum(sizes[like]), np.flatnonzero(differ), "right")]] = True
+        return np.flatnonzero(other)
+
+    def _encode_alone(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of spans without the store, and their numbers of ids."""
+        ids, counts = self.encode_pieces(data, starts, ends)
+        if not self.whole:
+            return ids, counts
+        number = {t: i for i, t in enumerate(self.tokens) if t}
+        own = [number.get(data[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lists = [part if n is None else [n] for n, part in zip(own, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+        return np.concatenate(lists).astype(np.int32), np.array([len(x) for x in lists], np.int64)
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -288,18 +316,24 @@ class ByteBpe:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         bounds = byte_bounds(data, offsets, "tiktoken" if self.whole else "tokenizers", pattern)
         starts, ends = bounds[:-1], bounds[1:]
-        keys = self.hash(data, starts, ends) | np.uint64(1)
-        if self.seen.size > STORED:
+        if self.seen.size > STORED or len(self.store_bytes) > 16 * STORED:
             self.forget()
+        keys = self._piece_keys(data, starts, ends)
         at = self.seen.get(keys, -1)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            fresh, first = np.unique(keys[missing], return_index=True)
-            self._keep(fresh, *self.encode_pieces(data, starts[missing[first]], ends[missing[first]]))
+            _, first = np.unique(keys[missing], return_index=True)
+            fresh = missing[first]
+            self._keep(data, starts[fresh], ends[fresh], *self.encode_pieces(data, starts[fresh], ends[fresh]))
             at[missing] = self.seen.get(keys[missing], -1)
         begin = self.store_ends[at]
         counts = self.store_ends[at + 1] - begin
-        ids = ragged(self.store_ids, begin, counts)
+        store = self.store_ids
+        if len(other := self._others(at, data, starts, ends)):
+            more, counts[other] = self._encode_alone(data, starts[other], ends[other])
+            begin[other] = len(store) + np.cumsum(counts[other]) - counts[other]
+            store = np.concatenate([store, more])
+        ids = ragged(store, begin, counts)
         before = np.append(0, np.cumsum(counts))
         return ids, before[np.searchsorted(bounds, offsets)]
 

@@ -53,6 +53,29 @@ def test_long_pieces(multi, text):
     assert bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken")).encode(text) == multi.encode_ordinary(text)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_collide_in_polynomial_hashes(multi, fifty, n):
+    text = f"{thue_morse(n, 'a', 'b')} {thue_morse(n, 'b', 'a')} {thue_morse(n, 'a', 'b')}"
+    v, w = bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken")), bpe.vocabulary(P.path("byte_bpe_50k.json"))
+    assert v.encode(text) == multi.encode_ordinary(text)
+    assert w.encode(text) == fifty.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
+def test_pieces_of_one_key_keep_their_own_ids(multi, fifty, monkeypatch, file):
+    import numpy as np
+
+    v = bpe.ByteBpe.from_ranks(P.path(file)) if file.endswith("tiktoken") else bpe.ByteBpe.from_merges(P.path(file))
+    monkeypatch.setattr(v, "hash", lambda data, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(1))
+    v.seen, v.store_ends, v.store_byte_ends = bpe.HashTable(16), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for text in ("the cat sat on the mat and ate hat", "was it not an old ant", "the " + "x" * 300 + " " + "y" * 300):
+        assert v.encode(text) == (multi.encode_ordinary(text) if v.whole else fifty.encode(text, add_special_tokens=False).ids)
+
+
 def test_heap_and_matrix_merge_alike():
     v, rng = bpe.vocabulary(P.path("byte_bpe_50k.json")), random.Random(1)
     for _ in range(50):
