@@ -1,16 +1,17 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents are sets of hashed word shingles. Equal sets are one node. Nodes that agree in two minimum hashes
-are checked exactly against the least of them; linked nodes have one label from then on. Then nodes are
-partitioned into groups: the nodes of a large label, and otherwise nodes that share a minimum hash with many;
-groups are stored in blocks, so no task holds an unbounded one. The matrix tells which blocks have a token. Its
-tokens are made so that any two linked sets have one in common, and sets that share only a passage have none:
-shingles are dealt to numbered parts, one more than linked sets of that size can differ by, so that one part
-at least is the same in both; a token is the hash of a part's shingles. A set queries the blocks that share a
-token with it and hold another label; each is stored with the union of its sets' shingles. A query's overlap
-with the union bounds its overlap with every member; a block is opened only if the bound allows a link, and
-then its members are compared exactly, for each label until one is linked. Links within a label are never
-listed.
+are checked exactly against the least of them; linked nodes have one label from then on. The matrix's tokens are
+made so that any two linked sets have one in common, and sets that share only a passage have none: shingles are
+dealt to numbered parts, one more than linked sets of that size can differ by, so that one part at least is the
+same in both; a token is the hash of a part's shingles. Only tokens of several labels matter. The nodes that have
+one are partitioned into groups of similar sets: the nodes of a large label, and otherwise those that share their
+most frequent token; groups are stored in blocks of bounded size, each with the union of its sets' shingles.
+A row of the matrix tells which blocks have a token and, by a bitmask, which of a block's nodes. Blocks that meet
+in a token give one row with masks of the nodes on both sides, so the rows grow with the blocks, not the pairs of
+nodes. Each such node is a query; its overlap with the other block's stored union bounds its overlap with every
+member, and only blocks whose bound allows a link are opened, where sets are compared exactly, all at once. Links
+are handed on once for each two labels, and links within a label never.
 
 Hash values have 64 bits; sets with equal 128-bit digests count as equal.
 """
@@ -23,15 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.bpe import PieceHash, mixed
-from hyperloom.llm.columnar import by_batch, id_and_text, settled, steps, utf8_buffers
+from hyperloom.llm.columnar import by_batch, id_and_text, steps, utf8_buffers
 from hyperloom.llm.shared import HASHES, KeyFilter, Tables
 
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F), np.uint64(0xD1B54A32D192ED03))
 MINIMA = ("m1", "m2", "m3", "m4")
-#: Sets of one block of a group, and queries that meet it at once; nodes of a label that has blocks of its own.
-BLOCK, LARGE = 128, 64
-#: Nodes of a block with one token from which on the block asks as a whole, in one row instead of many.
-TOGETHER = 16
+#: Sets of one block of a group, and queries that meet it at once, about; the shingles of all of them; nodes of a
+#: label that has blocks of its own.
+BLOCK, BLOCK_SHINGLES, LARGE = 128, 1 << 21, 64
+#: Bits of a block's mask; a node's bit is a hash, so two nodes can have one, and then both are read.
+MASK = 128
+#: Shingles that one step of a comparison counts.
+COUNTED = 1 << 15
 _word_hash = PieceHash(11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -65,9 +69,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int64)
 
 
-def least(n: int, share: tuple[int, int]) -> int:
-    """The tokens that a set of n must share with any linked set: n times the similarity, rounded up."""
-    return -(-n * share[0] // share[1])
+def overlaps(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of all sets on the left (rows) with all on the right, by products of 0-1 matrices."""
+    both = np.intersect1d(left, right)
+    out = np.zeros((len(left_at) - 1, len(right_at) - 1), np.int64)
+    for first in range(0, len(both), COUNTED):
+        step, grids = both[first : first + COUNTED], []
+        for flat, at in ((left, left_at), (right, right_at)):
+            column = np.minimum(np.searchsorted(step, flat), len(step) - 1)
+            there = step[column] == flat
+            grid = np.zeros((len(at) - 1, len(step)), np.float32)
+            grid[np.repeat(np.arange(len(at) - 1), np.diff(at))[there], column[there]] = 1
+            grids.append(grid)
+        out += (grids[0] @ grids[1].T).astype(np.int64)
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
@@ -235,117 +250,140 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return labelled
 
 
-def blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`node`, `label`, `block` and whether its block is `own` to a large label; `sets` has `node` and the minima.
+def _shared_tokens(docs: DataFrame, labels: DataFrame, words: int, share: tuple[int, int], tables: Tables) -> DataFrame:
+    """`token`, `node`, `label` and `n`, the token's nodes, for the tokens of several labels.
 
-    A node of a small label goes with the largest number of nodes that have a minimum hash of its own in common.
-    Blocks of large labels have the lesser numbers.
+    A first pass finds the tokens of several documents, from each token's least and greatest one; a second one
+    takes the rows of these tokens alone.
     """
-    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-    seats = sets.select("node", F.posexplode(F.array(*MINIMA)).alias("seed", "least"))
-    full = seats.groupBy("seed", "least").agg(F.count("*").alias("n"))
-    chosen = seats.join(full, ["seed", "least"]).groupBy("node").agg(F.max(F.struct("n", "seed", "least")).alias("seat"))
-    made = sized.join(chosen, "node").withColumn("own", F.col("size") >= LARGE)
-    key = F.when(F.col("own"), F.xxhash64("label")).otherwise(F.xxhash64("seat.seed", "seat.least"))
-    bucket = F.pmod(F.xxhash64("node", F.lit(77)), F.ceil(F.when(F.col("own"), F.col("size")).otherwise(F.col("seat.n")) / BLOCK))
-    number = F.pmod(F.xxhash64(key, bucket), F.lit(1 << 62)) + F.when(F.col("own"), 0).otherwise(F.lit(1 << 62))
-    return made.select("node", "label", number.alias("block"), "own")
-
-
-def _asked(docs: DataFrame, members: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """`query` (a node) and `block`: nodes and the blocks with another label that share a token of the matrix.
-
-    Of two nodes the one in the greater block asks. A first pass finds the tokens of several labels, from each
-    token's least and greatest one; a second one takes the rows of these tokens alone. Blocks of a large label
-    stand for all their nodes in a token's row, and so does a block with many nodes that have the token.
+    docs = docs.where("k is not null")
+    several = matrix_rows(docs, words, share).select("k", F.explode("tokens").alias("token"))
+    several = several.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token")
+    again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0)
+    found = tables.write(again.join(labels.withColumnRenamed("node", "k"), "k").select(F.explode("tokens").alias("token"), F.col("k").alias("node"), "label").distinct())
+    counts = found.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "n")
+    made = tables.write(found.join(counts, "token"))
+    tables.drop(found)
+    return made
+
+
+def blocks(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """`node`, `label`, `size` (of its set), `block`, and the node's bit in its block's mask, as `bit0` and `bit1`.
+
+    A node of a small label goes with the nodes that share its most frequent token. A group has as many blocks as its sets and
+    their shingles need; blocks of large labels have the lesser numbers.
     """
-    at = members.withColumnRenamed("node", "k")
-    several = matrix_rows(docs, words, share).join(at.select("k", "label"), "k").select("label", F.explode("tokens").alias("token"))
-    several = several.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0).join(at, "k")
-    few = again.select(F.explode("tokens").alias("token"), "block", "label", F.when(~F.col("own"), F.col("k")).alias("node")).distinct()
-
-    def asks(batches):
-        held: list[pa.RecordBatch] = []
-
-        def made(table: pa.Table) -> pa.RecordBatch:
-            token, block, label = (table[c].to_numpy() for c in ("token", "block", "label"))
-            lone = table["node"].is_null().to_numpy(zero_copy_only=False).copy()
-            node = table["node"].fill_null(0).to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            out = [np.zeros((4, 0), np.int64)]
-            for a, b in zip(cuts.tolist(), cuts.tolist()[1:], strict=False):
-                if b - a == 1:
-                    continue
-                rows = slice(a, b)
-                number, of = np.unique(block[rows], return_inverse=True)
-                lo, hi = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
-                np.minimum.at(lo, of, label[rows])
-                np.maximum.at(hi, of, label[rows])
-                lone[rows] |= (np.bincount(of) >= TOGETHER)[of]
-                for first in range(a, b, 4096):  # rows at a time, to bound the grid
-                    part = slice(first, min(b, first + 4096))
-                    meets = (number[None, :] <= block[part][:, None]) & ((lo[None, :] != label[part][:, None]) | (hi[None, :] != label[part][:, None]))
-                    x, y = np.nonzero(meets)
-                    out.append(np.stack([np.where(lone[part][x], 0, node[part][x]), np.where(lone[part][x], block[part][x], 0), lone[part][x].astype(np.int64), number[y]]))
-            found = np.unique(np.concatenate(out, 1), axis=1)
-            single = found[2] == 0
-            return pa.RecordBatch.from_arrays([pa.array(found[0], mask=~single), pa.array(found[1], mask=single), pa.array(found[3])], ["node", "from", "block"])
-
-        for batch in batches:  # sorted by token: rows of a token may go on in the next batch
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([*held, batch])
-            last = table["token"][-1].as_py()
-            same = int(np.searchsorted(table["token"].to_numpy(), last))
-            if same:
-                yield made(table.slice(0, same))
-            held = table.slice(same).combine_chunks().to_batches()
-        if held:
-            yield made(pa.Table.from_batches(held))
-
-    found = few.repartition("token").sortWithinPartitions("token").mapInArrow(asks, "node long, from long, block long").distinct()
-    found = settled(found)
-    whole = found.where("node is null").join(members.select(F.col("block").alias("from"), F.col("node").alias("query")), "from").select("query", "block")
-    return found.where("node is not null").select(F.col("node").alias("query"), "block").union(whole).distinct()
-
-
-def _opened(queries: DataFrame, members: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between queries and nodes of the blocks that they ask, one for each other label at most."""
-    asked = queries.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    stored = members.select("node", "label", "block").join(asked, "block").select("node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    asking = queries.join(asked, "block").join(members.select(F.col("node").alias("query"), "label"), "query")
-    asking = asking.select(F.col("query").alias("node"), "label", "block", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"))
-    texts = texts_of(docs, stored.select("node").union(asking.select("node")).distinct())
-
-    def with_text(df: DataFrame, side: str) -> DataFrame:
-        own = df.select(F.col("node").alias("k"), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "part", "label")))
-        return own.join(texts, "k").select(*(F.col(c) for c in own.columns[1:]), F.col("k").alias(f"node_{side}"), F.col("t").alias(f"t_{side}"))
+    nodes = shared.groupBy("node", "label").agg(F.max(F.struct("n", "token")).alias("seat")).join(sets.select("node", F.col("n").alias("size")), "node")
+    nodes = nodes.join(nodes.groupBy("label").agg(F.count("*").alias("alike")), "label")
+    keyed = nodes.withColumn("own", F.col("alike") >= LARGE).withColumn("key", F.when(F.col("own"), F.xxhash64("label")).otherwise(F.xxhash64("seat.token", F.lit(1))))
+    groups = keyed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("buckets"))
+    bucket = F.pmod(F.xxhash64("node", F.lit(77)), F.col("buckets"))
+    number = F.pmod(F.xxhash64("key", bucket), F.lit(1 << 62)) + F.when(F.col("own"), 0).otherwise(F.lit(1 << 62))
+    bit = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(MASK))
+    half = lambda k: F.expr(f"if(bit div 64 = {k}, shiftleft(1L, int(bit % 64)), 0L)").alias(f"bit{k}")
+    return keyed.join(groups, "key").select("node", "label", "size", number.alias("block"), bit.alias("bit")).select("node", "label", "size", "block", half(0), half(1))
+
+
+def meetings(shared: DataFrame, members: DataFrame) -> DataFrame:
+    """`asks`, `block` and masks of the nodes on both sides, for blocks with different labels in a token; the greater block asks."""
+    at = shared.select("token", "node").join(members, "node")
+    matrix = at.groupBy("token", "block").agg(*(F.bit_or(f"bit{k}").alias(f"bits{k}") for k in (0, 1)), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in matrix.columns[1:])) for side in "xy")
+    met = x.join(y, "token").where("block_x >= block_y and (lo_x <> hi_x or lo_y <> hi_y or lo_x <> lo_y)")
+    masks = [F.bit_or(f"bits{k}_{side}").alias(f"{name}{k}") for side, name in (("x", "by"), ("y", "of")) for k in (0, 1)]
+    return met.groupBy(F.col("block_x").alias("asks"), F.col("block_y").alias("block")).agg(*masks)
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """`block` and `parts`, over which its queries are dealt."""
+    return queries.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+
+
+def _with_texts(queries: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Queries with the part of the block that each goes to, and its text."""
+    dealt = queries.join(parts, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    return dealt.join(texts, "node").select("block", "part", "node", "label", "t")
+
+
+def _copies(stored: DataFrame, parts: DataFrame) -> DataFrame:
+    """What blocks have stored, for each part of their queries; columns end in `_of`."""
+    each = stored.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return each.select(*(F.col(c).alias(f"{c}_of") for c in ("part", *stored.columns)))
+
+
+def stored_unions(texts: DataFrame, words: int) -> DataFrame:
+    """`block` and `shingles`, the sorted 32-bit ends of the shingle hashes of all its sets.
+
+    Ends that two shingles share can only raise an overlap, so the bound still holds.
+    """
+
+    def union(table: pa.Table) -> pa.Table:
+        held = np.zeros(0, np.uint32)
+        for batch in table.to_batches():
+            for part in steps(batch, table.column_names.index("t")):
+                flat, _ = shingles(*utf8_buffers(part.column("t")), words)
+                held = np.union1d(held, flat.astype(np.uint32))
+        return pa.table({"block": table["block"].slice(0, 1), "shingles": pa.array([held.tobytes()], pa.binary())})
+
+    return texts.select("block", "t").groupBy("block").applyInArrow(union, "block long, shingles binary")
+
+
+def _allowed(queries: DataFrame, unions: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """The queries (node, block) whose overlap with the block's stored union allows a link with a member."""
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        good = np.zeros(right.num_rows, bool)
+        if left.num_rows and right.num_rows:
+            union = np.frombuffer(left["shingles_of"][0].as_py(), np.uint32)
+            flat, at = shingles(*utf8_buffers(right["t"].combine_chunks()), words)
+            ends = flat.astype(np.uint32)
+            there = union[np.minimum(np.searchsorted(union, ends), len(union) - 1)] == ends
+            found = np.append(0, np.cumsum(there))[at]
+            sizes = np.diff(at)
+            good = (np.diff(found) * share[1] >= sizes * share[0]) & (sizes > 0)
+        return right.select(["node", "block"]).filter(pa.array(good))
+
+    parts = _dealt(queries)
+    asking = _with_texts(queries, parts, texts)
+    return _copies(unions, parts).groupBy("block_of", "part_of").cogroup(asking.groupBy("block", "part")).applyInArrow(bound, "node long, block long")
+
+
+def _links(queries: DataFrame, opened: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs of labels (a, b) of which a query and a node that its block opens are linked."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
+        found = np.zeros((2, 0), np.int64)
         if left.num_rows and right.num_rows:
-            held, held_at = shingles(*utf8_buffers(left["t_of"].combine_chunks()), words)
-            union = np.unique(held)
-            nodes, names = left["node_of"].to_pylist(), left["label_of"].to_pylist()
-            asks, asks_at = shingles(*utf8_buffers(right["t_by"].combine_chunks()), words)
-            for k, (node, name) in enumerate(zip(right["node_by"].to_pylist(), right["label_by"].to_pylist(), strict=True)):
-                query = asks[asks_at[k] : asks_at[k + 1]]
-                if not len(query) or not len(union):
-                    continue
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                if int((union[at] == query).sum()) < least(len(query), share):
-                    continue
-                done = {name}
-                for j, other in enumerate(nodes):
-                    if names[j] not in done and linked(query, held[held_at[j] : held_at[j + 1]], share):
-                        done.add(names[j])
-                        found_a.append(node)
-                        found_b.append(other)
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-    left, right = with_text(stored, "of"), with_text(asking, "by")
-    return left.groupBy("block_of", "part_of").cogroup(right.groupBy("block_by", "part_by")).applyInArrow(meet, "a long, b long")
+            sets = [shingles(*utf8_buffers(t.combine_chunks()), words) for t in (left["t_of"], right["t"])]
+            sizes = [np.diff(at) for _, at in sets]
+            both = overlaps(*sets[0], *sets[1])
+            names = left["label_of"].to_numpy(), right["label"].to_numpy()
+            good = (both > 0) & (both * share[1] >= share[0] * (sizes[0][:, None] + sizes[1] - both)) & (names[0][:, None] != names[1])
+            x, y = np.nonzero(good)
+            found = np.unique(np.sort(np.stack([names[0][x], names[1][y]]), axis=0), axis=1)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+
+    parts = _dealt(queries)
+    left, right = _copies(opened.select("block", "label", "t"), parts), _with_texts(queries, parts, texts)
+    return left.groupBy("block_of", "part_of").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "a long, b long")
+
+
+def _links_of_blocks(docs: DataFrame, members: DataFrame, met: DataFrame, words: int, share: tuple[int, int], tables: Tables) -> DataFrame:
+    """Links between labels, by bounds against the stored unions and then by opening the blocks that qualify."""
+    texts = texts_of(docs, members.select("node")).join(members.withColumnRenamed("node", "k"), "k").withColumnRenamed("k", "node")
+    texts = tables.write(texts.select("node", "label", "size", "block", "bit0", "bit1", "t"))
+    own, other = met.where("asks = block"), met.where("asks <> block")
+    has = lambda name: (F.col(f"{name}0").bitwiseAND(F.col("bit0")) != 0) | (F.col(f"{name}1").bitwiseAND(F.col("bit1")) != 0)
+    asking = lambda met: met.select(F.col("block").alias("to"), "by0", "by1", F.col("asks").alias("block")).join(members, "block").where(has("by")).select("node", F.col("to").alias("block"), "size")
+    unions = tables.write(stored_unions(texts.join(other.select("block").distinct(), "block", "left_semi"), words))
+    named = texts.select("node", "label", "t")
+    good = _allowed(asking(other), unions, named, words, share).join(members.select("node", "size"), "node").select("node", "block", "size")
+    queries = tables.write(good.unionByName(asking(own)))
+    masks = met.groupBy("block").agg(F.bit_or("of0").alias("of0"), F.bit_or("of1").alias("of1")).join(queries.select("block").distinct(), "block")
+    opened = texts.join(masks, "block").where(has("of"))
+    links = tables.write(_links(queries, opened, named, words, share).distinct())
+    tables.drop(texts, unions, queries)
+    return links
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -369,15 +407,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     near = components(checked(stars, docs, words, share), tables)
     nodes = sets.select("node").distinct()
     labels = tables.write(nodes.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    # blocks of groups, and who shares a token with them
-    members = tables.write(blocks(sets, labels))
-    queries = tables.write(_asked(docs, members, words, share))
-    links = tables.write(_opened(queries, members, docs, words, share))
-    joined = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    merged = components(joined, tables)
+    # blocks of groups, and which of them meet
+    shared = _shared_tokens(docs, labels, words, share, tables)
+    members = tables.write(blocks(shared, sets))
+    met = tables.write(meetings(shared, members))
+    links = _links_of_blocks(docs, members, met, words, share, tables)
+    merged = components(links, tables)
     final = labels.join(merged.toDF("label", "whole"), "label", "left").select("node", F.coalesce("whole", "label").alias("component_id"))
     of_set = tables.write(sets.select("n", "d1", "d2", "node").join(final, "node").select("n", "d1", "d2", "component_id"))
-    tables.drop(labels, members, queries, links, stars, sets)
+    tables.drop(near, labels, shared, members, met, links, merged, stars, sets)
     out = meta.join(of_set, ["n", "d1", "d2"], "left")
     chosen = F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), chosen.alias("component_id"))

@@ -26,16 +26,22 @@ class Tables:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:  # what later steps still read goes with the session
+            root = self._path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         made = self.spark.read.schema(df.schema).parquet(path)
         made._own_path = path
         return made
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._own_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if own := getattr(table, "_own_path", None):
+                path = self._path(own)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
 
 class KeyFilter:
