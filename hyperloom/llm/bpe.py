@@ -25,7 +25,7 @@ from hyperloom.llm.pretokens import byte_bounds
 LONGEST = 256
 NONE = np.int64(1 << 40)
 #: Cells of one matrix, pieces and tokens of the store; beyond that the store starts again.
-CELLS, STORED = 1 << 21, 3 << 19
+CELLS, STORED = 1 << 20, 1 << 19
 #: Bytes of a span that its hash takes in rounds.
 CHAINED = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)

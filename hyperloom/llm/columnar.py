@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one step of a batch operator holds at once; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -38,13 +42,25 @@ def steps(batch: pa.RecordBatch, column: int, most: int = STEP_BYTES) -> Iterato
         start = end
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 1) -> DataFrame:
-    """`df` with each slice of its Arrow batches put through `make`."""
+@cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Memory that nothing uses goes back to the system; a worker lives on behind its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: int = 1, most: int = STEP_BYTES) -> DataFrame:
+    """`df` with each slice of its Arrow batches put through `make`; a slice has `most` text bytes, or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, most):
                 yield make(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -55,11 +71,11 @@ def id_and_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, a local one if the master is local, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="shared-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
@@ -70,3 +86,8 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sampled(key: str, wanted: int, rows: int) -> Column:
+    """Whether a row is of a sample of about `wanted` of `rows`, by a 63-bit hash of its key, so that any share can be drawn."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)) <= F.lit(min((1 << 63) - 1, (wanted << 63) // max(1, rows)))

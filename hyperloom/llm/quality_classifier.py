@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.bpe import PieceHash, mixed
-from hyperloom.llm.columnar import by_batch, id_and_text, utf8_buffers
+from hyperloom.llm.columnar import by_batch, id_and_text, sampled, utf8_buffers
 
 #: Hashed features, and rated documents to learn from, about (chosen by their ids' hash).
 BITS, SAMPLE_RATINGS = 18, 10_000
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     rated = ratings.select(F.col(key).cast("long").alias("r"), F.col("grade").cast("int").alias("grade")).where("r is not null and grade is not null")
     n = rated.count()
     if n > SAMPLE_RATINGS:
-        rated = rated.where(F.pmod(F.xxhash64("r"), F.lit(1 << 20)) < int(SAMPLE_RATINGS / n * (1 << 20)))
+        rated = rated.where(sampled("r", SAMPLE_RATINGS, n))
     found = id_and_text(docs, key, text).join(F.broadcast(rated), F.col("k") == F.col("r")).select("k", "t", "grade")  # bounded by the sample
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:

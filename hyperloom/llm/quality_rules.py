@@ -203,13 +203,11 @@ def quality_rules(df: DataFrame, refs: dict[str, Reference], key: str = "doc_id"
 
 
 def keep_quality(df: DataFrame, refs: dict[str, Reference], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of `df`, all columns, that the rules keep."""
+    """The rows of `df`, all columns, that the rules keep; a null text has no words and goes."""
     shared = df.sparkSession.sparkContext.broadcast(refs)
     at, of = df.columns.index(text), df.columns.index(lang)
 
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, at):
-                yield part.filter(pa.array([v.kept for v in _verdicts(part, at, of, shared.value)], pa.bool_()))
+    def kept(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array([v.kept for v in _verdicts(part, at, of, shared.value)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return by_batch(df, kept, df.schema, at)
