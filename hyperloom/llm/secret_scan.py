@@ -4,6 +4,10 @@ A text's own matches come first. Then every layer is unwrapped: URL escapes, Uni
 all that they hold compressed, in any number of members and levels, each give a new layer, which is scanned and unwrapped again until nothing new
 appears; a layer seen before is not taken twice, which ends cycles. Each layer knows the span of the original
 text that each of its characters came from, so that all spans are places in that text.
+
+What is compressed is read as a stream, of any size, in windows that end where no encoded run does; what is compressed
+again in it is found in the same way, by inflating the stream once more up to its place. So memory is bounded by the
+window, and nothing is left out but parts of a single encoded run that is longer than a window; `read_whole` tells.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hyperloom.llm.columnar import by_batch, id_and_text, steps
+from hyperloom.llm.columnar import by_batch, id_and_text
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,14 +40,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Runs that line ends part, as `base64` and MIME write them.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 STANDARD = str.maketrans("-_", "+/")
-#: Bytes that all decompressed layers of one text may have together, a guard against bombs; what is beyond is
-#: read in windows, where nothing is decompressed again.
-MOST_EXPANDED = 64 << 20
-#: Where a gzip, bzip2 or zlib member may start; bytes that one call inflates.
+#: Where a gzip, bzip2 or zlib member may start; bytes that one call inflates; bytes that tell that a start is none.
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
-STEP = 1 << 20
-#: Bytes that two windows share.
-OVERLAP = 1 << 16
+STEP, PROBE, LEAST_MEMBER = 1 << 20, 512, 8
+#: Decompressed bytes that are held at once, a window, and those that two windows share; a byte that no encoded run has; blanks that stand for more.
+MOST_EXPANDED, OVERLAP = 16 << 20, 1 << 16
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\\s-]")
+BLANKS = re.compile(rb"\x20{1024,}")
 MASK = "[secret]"
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -62,19 +65,26 @@ def scan(text: str) -> list[Span]:
 class Layer:
     """A decoded text, and the span of the original text behind each of its characters (the same place if None)."""
 
-    def __init__(self, text: str, first: np.ndarray | None = None, last: np.ndarray | None = None):
-        self.text, self.first, self.last = text, first, last
+    def __init__(self, text: str, first: np.ndarray | None = None, last: np.ndarray | None = None, span: tuple[int, int] | None = None):
+        self.text, self.first, self.last, self.span = text, first, last, span
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Where text[start:end] came from."""
+        if self.span is not None:
+            return self.span
         return (start, end) if self.first is None else (int(self.first[start:end].min()), int(self.last[start:end].max()))
 
     def part(self, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
         """A layer of `text`, whose characters came from these spans of this one."""
         if self.first is None:
-            return Layer(text, starts, ends)
+            return Layer(text, starts, ends, self.span)
         return Layer(text, self.first[starts], self.last[np.maximum(ends - 1, starts)])
 
+    def digest(self) -> bytes:
+        """Equal for layers of equal text and places."""
+        places = repr(self.span).encode() if self.span is not None or self.first is None else self.first.tobytes()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + places).digest()
+
 
 def _text_of(raw: bytes) -> tuple[str, np.ndarray]:
     """Bytes as text, each byte that is not UTF-8 as a lone surrogate, and the byte where each character starts."""
@@ -87,71 +97,115 @@ def _text_of(raw: bytes) -> tuple[str, np.ndarray]:
     return text, np.cumsum(sizes) - sizes
 
 
-def _member(raw: bytes, at: int, most: int) -> tuple[bytes, int]:
-    """What one compressed member holds, up to `most`, and where it ends; whole steps before an error count."""
-    made = bz2.BZ2Decompressor() if raw[at : at + 1] == b"B" else zlib.decompressobj(47)
-    out, rest = [], raw[at:]
-    try:
-        while most > 0 and not made.eof:
-            out.append(made.decompress(rest, min(most, STEP)))
-            rest = getattr(made, "unconsumed_tail", b"")
-            most -= len(out[-1])
-            if not out[-1] and not rest:
-                break
-    except (zlib.error, OSError, EOFError):
-        pass
-    return b"".join(out), len(raw) - len(made.unused_data) if made.eof else at + 1
-
-
-def _members(raw: bytes, most: int) -> list[bytes]:
-    """What the gzip, zlib and bzip2 members in some bytes hold, up to `most` in all; members that follow each other are one."""
-    out: list[bytes] = []
-    at, last = 0, -1
-    while most > 0 and (m := MAGIC.search(raw, at)):
-        held, at = _member(raw, m.start(), most)
-        if held:
-            if last >= 0 and not raw[last : m.start()].strip(b"\0"):
-                out[-1] += held
-            else:
-                out.append(held)
-            most -= len(held)
-        last = at if at > m.start() + 1 else -1
+class Inflated:
+    """The content of the member that some chunks of bytes start with, and of members right behind it, as chunks; `end` is where the last whole one ends."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.taken, self.end = iter(chunks), 0, 0
+
+    def _next(self) -> bytes | None:
+        chunk = next(self.chunks, None)
+        self.taken += len(chunk or b"")
+        return chunk
+
+    def __iter__(self) -> Iterator[bytes]:
+        rest = self._next()
+        while rest is not None:
+            made = bz2.BZ2Decompressor() if rest[:1] == b"B" else zlib.decompressobj(47)
+            try:
+                while not made.eof:
+                    held = made.decompress(rest, STEP)
+                    rest = getattr(made, "unconsumed_tail", b"")
+                    if held:
+                        yield held
+                    elif not rest and not made.eof and (rest := self._next()) is None:
+                        return
+            except (zlib.error, OSError, EOFError):
+                return
+            rest = made.unused_data
+            self.end = self.taken - len(rest)
+            rest = rest.lstrip(b"\0")
+            while len(rest) < PROBE and (more := self._next()) is not None:
+                rest = (rest + more).lstrip(b"\0")
+            if not MAGIC.match(rest):
+                return
+
+
+def _from(chunks: Iterator[bytes], at: int) -> Iterator[bytes]:
+    """The chunks without their first `at` bytes."""
+    for chunk in chunks:
+        if at < len(chunk):
+            yield chunk[at:]
+        at = max(0, at - len(chunk))
+
+
+def _source(raw: bytes, path: tuple[int, ...]) -> Iterator[bytes]:
+    """Bytes, or for each place of the path what is compressed there, as chunks."""
+    out: Iterator[bytes] = iter([raw])
+    for at in path:
+        out = iter(Inflated(_from(out, at)))
     return out
 
 
-def _decompressed(raw: bytes, left: list[int]) -> tuple[list[bytes], list[bytes]]:
-    """All that bytes hold compressed, and what is compressed in that, as far as `left` goes; and the bytes not read to their end."""
-    out, cut, work, seen = [], [], [raw], {raw}
-    while work:
-        source = work.pop()
-        for held in _members(source, left[0]):
-            left[0] -= len(held)
-            if held not in seen:
-                seen.add(held)
-                out.append(held)
-                work.append(held)
-        if left[0] <= 0 and MAGIC.search(source):
-            cut.append(source)
-    return out, cut
-
-
-def _windows(raw: bytes) -> Iterator[bytes]:
-    """What the members in some bytes hold, of any size, in windows that overlap."""
-    at, kept = 0, b""
-    while m := MAGIC.search(raw, at):
-        made = bz2.BZ2Decompressor() if raw[m.start() : m.start() + 1] == b"B" else zlib.decompressobj(47)
-        rest = raw[m.start() :]
+def _starts(raw: bytes) -> list[int]:
+    """Where members may start: what follows can be inflated as far as PROBE goes."""
+    out = []
+    for m in MAGIC.finditer(raw):
+        made = bz2.BZ2Decompressor() if m[0][:1] == b"B" else zlib.decompressobj(47)
         try:
-            while not made.eof:
-                held = made.decompress(rest, STEP)
-                rest = getattr(made, "unconsumed_tail", b"")
-                if not held and not rest:
-                    break
-                yield kept + held
-                kept = (kept + held)[-OVERLAP:]
+            made.decompress(raw[m.start() : m.start() + PROBE])
+            out.append(m.start())
         except (zlib.error, OSError, EOFError):
             pass
-        at = len(raw) - len(made.unused_data) if made.eof else m.start() + 1
+    return out
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """A stream in windows that overlap, and whether each one ends where no encoded run is cut."""
+    held, shared = b"", 0  # bytes not handed on yet, and those of them that the last window had too
+    for chunk in chunks:
+        held = BLANKS.sub(b" " * 1024, held + chunk)
+        if len(held) >= MOST_EXPANDED:
+            end = next((m.start() + 1 for lo in range(len(held) - OVERLAP, -OVERLAP, -OVERLAP) for m in reversed(list(BREAK.finditer(held, max(0, lo), lo + OVERLAP)))), 0)
+            whole = end > shared
+            end = end if whole else len(held)
+            yield held[:end], whole
+            kept = max(0, end - OVERLAP)
+            held, shared = held[kept:], end - kept
+    if len(held) > shared:
+        yield held, True
+
+
+def packed(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The windows of all that bytes hold compressed, in any number of members and levels; equal contents are read once."""
+    if len(raw) < LEAST_MEMBER or not MAGIC.search(raw):
+        return
+    seen: set[bytes] = set()
+    todo: list[list] = [[(), iter(_starts(raw)), 0]]  # the path of a source, the starts in it, and how far it is read
+    while todo:
+        path, starts, read = todo[-1]
+        at = next((x for x in starts if x >= read), None)
+        if at is None:
+            todo.pop()
+            continue
+        stream = Inflated(_from(_source(raw, path), at))
+        digest, inner, length, tail = hashlib.sha256(), [], 0, b""
+
+        def taken(chunks=stream, digest=digest, inner=inner):
+            nonlocal length, tail
+            for chunk in chunks:
+                digest.update(chunk)
+                both = tail + chunk
+                inner.extend(x + length - len(tail) for x in _starts(both) if x + 16 > len(tail))
+                length += len(chunk)
+                tail = both[-16:]
+                yield chunk
+
+        yield from _windows(taken())
+        todo[-1][2] = at + max(1, stream.end)
+        if length and digest.digest() not in seen:
+            seen.add(digest.digest())
+            todo.append([(*path, at), iter(sorted(set(inner))), 0])
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -193,12 +247,36 @@ def _unicode(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     return text, np.array([a for _, a, _ in out]), np.array([b for _, _, b in out])
 
 
-def unwrap(layer: Layer, left: list[int]) -> Iterator[Layer]:
-    """The layers that one step of decoding finds in a layer; what it decompresses is taken from `left`."""
+def _bytes_of(layer: Layer) -> Iterator[tuple[bytes, int, int]]:
+    """The bytes of escaped runs that can hold something compressed, and the runs' spans."""
+    if "%" in layer.text:
+        yield from ((bytes.fromhex(m[0].replace("%", "")), *m.span()) for m in URL.finditer(layer.text) if len(m[0]) >= 3 * LEAST_MEMBER)
+    if "\\" in layer.text:
+        for m in UNICODE.finditer(layer.text):
+            units = [int(x[1] or x[2] or x[3], 16) for x in ONE_ESCAPE.finditer(m[0])]
+            if len(units) >= LEAST_MEMBER and max(units) < 256:
+                yield bytes(units), *m.span()
+
+
+def unwrap(layer: Layer, found: set[Span], whole: list[bool]) -> Iterator[Layer]:
+    """The layers that one step of decoding finds in a layer.
+
+    What is compressed has one span, so it is read until all kinds are in `found` there; `whole` gets False if an
+    encoded run in it was cut.
+    """
+
+    def unpacked(raw: bytes, start: int, end: int) -> Iterator[Layer]:
+        a, b = layer.origin(start, end)
+        for window, uncut in takewhile(lambda _: not all((a, k, b) in found for k in range(len(KINDS))), packed(raw)):
+            whole[0] &= uncut
+            yield Layer(window.decode("utf-8", "surrogateescape"), span=(a, b))
+
     if "%" in layer.text and (made := _escapes(layer, URL, _url)):
         yield made
     if "\\" in layer.text and (made := _escapes(layer, UNICODE, _unicode)):
         yield made
+    for raw, start, end in _bytes_of(layer):
+        yield from unpacked(raw, start, end)
     for chars, places, start, end in _runs(layer.text):
         for shift in range(4):
             n = len(chars) - shift
@@ -206,10 +284,7 @@ def unwrap(layer: Layer, left: list[int]) -> Iterator[Layer]:
             if n < 2:
                 continue
             raw = binascii.a2b_base64(chars[shift : shift + n] + "=" * (-n % 4))
-            whole, cut = _decompressed(raw, left)
-            for inner in chain(whole, *map(_windows, cut)):
-                held = inner.decode("utf-8", "surrogateescape")
-                yield layer.part(held, np.full(len(held), start), np.full(len(held), end))
+            yield from unpacked(raw, start, end)
             text, at = _text_of(raw)
             first, last = shift + at * 4 // 3, np.minimum(shift + -(-np.append(at[1:], len(raw)) * 4 // 3), len(chars))
             yield layer.part(text, places[first], places[last - 1] + 1)
@@ -229,26 +304,30 @@ def _runs(text: str) -> list[tuple[str, np.ndarray, int, int]]:
     return [(chars.translate(STANDARD), *rest) for chars, *rest in out]
 
 
-def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
-    """The text's own spans, and all spans with those of its decoded layers; both by start, kind and end."""
+def search(text: str) -> tuple[list[Span], list[Span], bool]:
+    """The text's own spans, and all spans with those of its decoded layers, both by start, kind and end; and whether all layers were read whole."""
     base = sorted(scan(text))
-    found = set(base)
-    left = [MOST_EXPANDED]
-    work = [unwrap(Layer(text), left)]
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    found, whole = set(base), [True]
+    first = Layer(text)
+    work, seen = [unwrap(first, found, whole)], {first.digest()}
     while work:
         if (layer := next(work[-1], None)) is None:
             work.pop()
             continue
-        digest = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass") + (b"" if layer.first is None else layer.first.tobytes())).digest()
+        digest = layer.digest()
         if digest in seen:
             continue
         seen.add(digest)
         for start, kind, end in scan(layer.text):
             a, b = layer.origin(start, end)
             found.add((a, kind, b))
-        work.append(unwrap(layer, left))
-    return base, sorted(found)
+        work.append(unwrap(layer, found, whole))
+    return base, sorted(found), whole[0]
+
+
+def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
+    """The text's own spans, and all spans with those of its decoded layers."""
+    return search(text)[:2]
 
 
 def shown(spans: list[Span]) -> str:
@@ -256,22 +335,23 @@ def shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-SCHEMA = "k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, read_whole boolean"
 
 
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and digest of each text's own spans, and all spans; one row per input row.
 
-    A null text is an empty one, without spans. Places are code points, ends exclusive. Other columns are not read.
+    A null text is an empty one, without spans. Places are code points, ends exclusive. `read_whole` is false where a
+    single encoded run in decompressed content was longer than a window and so decoded in parts. Other columns are not read.
     """
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for value in part.column(1).to_pylist():
-            base, spans = find_secrets(value or "")
+            base, spans, whole = search(value or "")
             counts = [sum(kind == k for _, kind, _ in base) for k in range(3)]
-            rows.append((*counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((*counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), whole))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return by_batch(id_and_text(df, key, text), make, SCHEMA).withColumnRenamed("k", key)
@@ -295,15 +375,13 @@ def mask_secrets(df: DataFrame, text: str = "text", length: str | None = None) -
     """
     at = df.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, at):
-                new = [v if v is None or not (spans := find_secrets(v)[1]) else masked(v, spans) for v in part.column(at).to_pylist()]
-                cols = list(part.columns)
-                cols[at] = pa.array(new, part.schema.field(at).type)
-                if length is not None:
-                    k = part.schema.names.index(length)
-                    cols[k] = pa.array([old if v is None else len(v) for v, old in zip(new, part.column(k).to_pylist(), strict=True)], part.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+    def masking(part: pa.RecordBatch) -> pa.RecordBatch:
+        new = [v if v is None or not (spans := find_secrets(v)[1]) else masked(v, spans) for v in part.column(at).to_pylist()]
+        cols = list(part.columns)
+        cols[at] = pa.array(new, part.schema.field(at).type)
+        if length is not None:
+            k = part.schema.names.index(length)
+            cols[k] = pa.array([old if v is None else len(v) for v, old in zip(new, part.column(k).to_pylist(), strict=True)], part.schema.field(k).type)
+        return pa.RecordBatch.from_arrays(cols, part.schema.names)
+
+    return by_batch(df, masking, df.schema, at)

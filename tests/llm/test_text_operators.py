@@ -36,6 +36,51 @@ def test_masks_name_all_languages_of_a_gram():
     assert abs(rate - f.wrong[0]) < 0.01
 
 
+def test_more_languages_than_bits():
+    rng = np.random.default_rng(2)
+    own = {f"l{i:03}": rng.integers(1, 1 << 62, 300, dtype=np.uint64) for i in range(150)}
+    f = langid.LanguageFilter.of(own)
+    for n, name in enumerate(sorted(own)):
+        assert (f.masks(own[name])[n // 64] >> np.uint64(n % 64) & np.uint64(1)).all()
+    texts = {name: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(60)) for name in own}
+    raw = {name: np.frombuffer(t.encode(), np.uint8) for name, t in texts.items()}
+    learned = langid.LanguageFilter.of({name: np.concatenate([k for _, k in langid.grams(d, np.array([0, len(d)]))]) for name, d in raw.items()})
+    names = sorted(raw)
+    data, offsets = np.concatenate([raw[n] for n in names]), np.cumsum([0, *(len(raw[n]) for n in names)])
+    assert learned.predict(data, offsets)[0] == names
+
+
+def plain_grams(text):
+    low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    low = re.sub(r"[\W\d_]+", " ", low)
+    return Counter(low[i : i + n] for n in langid.ORDERS for i in range(len(low) - n + 1))
+
+
+@pytest.mark.parametrize("window", [1 << 18, 7])
+def test_grams_and_scores_equal_plain_ones(monkeypatch, window):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    texts = ["Das  ist gut", "", "l'été, à Noël 12 !", "ab", "x", "--", "Ünï " * 9, " the the "]
+    raw = [t.encode() for t in texts]
+    found = list(langid.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    doc, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    for k, t in enumerate(texts):
+        want = plain_grams(t)
+        assert sorted(np.unique(keys[doc == k], return_counts=True)[1].tolist()) == sorted(want.values())
+    one = langid.LanguageFilter.of({"b": keys[doc == 0], "a": keys[doc == 0], "c": keys[doc == 2]})
+    names, score = one.predict(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert names[0] == "a" and names[2] == "c" and names[1] == names[5] == "und"  # a tie goes to the first in the alphabet
+    assert score[0] == pytest.approx(1) and (score[1], score[5]) == (0, 0)
+
+
+def test_samples_of_any_share(spark):
+    from hyperloom.llm.columnar import sampled
+
+    rows = spark.range(200_000)
+    assert 800 < rows.where(sampled("id", 10**9, 2 * 10**11)).count() < 1200
+    assert rows.where(sampled("id", 20_000, 5 * 10**10)).count() < 5
+    assert rows.where(sampled("id", 20_000, 10_000)).count() == 200_000
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.predict_language(docs, langid.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and length(lang_pred) > 0")
@@ -233,6 +278,25 @@ def test_layers_past_the_limit(monkeypatch):
             assert (2, 0, 2 + len(hidden)) in secret_scan.find_secrets(f"x {hidden}")[1]
 
 
+def test_streams_of_any_size_and_depth():
+    far = b"\xc3\xa9" * (36 << 19) + b" password = " + b"'hunter22x' " + b"\xc3\xa9" * 1000
+    deep = gzip.compress(b"! " * 3000 + bz2.compress(b"? " * 10 + zlib.compress(gzip.compress(b"token: abcdefgh"))))
+    for made in (gzip.compress(far), gzip.compress(b"." * (17 << 20) + gzip.compress(far)), deep, gzip.compress(b"") + deep):
+        hidden = base64.b64encode(made).decode()
+        base, spans, whole = secret_scan.search(f"x {hidden}")
+        assert base == [] and (2, 0, 2 + len(hidden)) in spans and whole
+    for escape in ("%%%02x", "\\x%02x", "\\u%04x"):
+        run = "".join(escape % b for b in deep)
+        assert (2, 0, 2 + len(run)) in secret_scan.find_secrets(f"x {run}")[1]
+
+
+def test_a_run_longer_than_a_window_is_told(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_EXPANDED", 1000)
+    hidden = base64.b64encode(zlib.compress(base64.b64encode(random.Random(1).randbytes(5000)))).decode()
+    assert not secret_scan.search(hidden)[2]
+    assert secret_scan.search("x " + base64.b64encode(zlib.compress(b"!" * 5000)).decode())[2]
+
+
 def test_spans_over_lines_are_exact():
     text = "## cGFzc3dvcmQg\n  PSBodW50ZXIy\n  MnggYW5kIGFsc28="
     assert secret_scan.find_secrets(text)[1] == [(3, 0, text.index("MnggYW") + 3)]
