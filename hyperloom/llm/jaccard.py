@@ -253,14 +253,14 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 def _shared_tokens(docs: DataFrame, labels: DataFrame, words: int, share: tuple[int, int], tables: Tables) -> DataFrame:
     """`token`, `node`, `label` and `n`, the token's nodes, for the tokens of several labels.
 
-    A first pass finds the tokens of several documents, from each token's least and greatest one; a second one
-    takes the rows of these tokens alone.
+    A first pass finds them, from each token's least and greatest label; a second one takes the rows of these
+    tokens alone. A token of any number of copies or of nodes of one label is a row a task in the first, and in none of the second.
     """
-    docs = docs.where("k is not null")
-    several = matrix_rows(docs, words, share).select("k", F.explode("tokens").alias("token"))
-    several = several.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token")
+    docs, at = docs.where("k is not null"), labels.withColumnRenamed("node", "k")
+    several = matrix_rows(docs, words, share).join(at, "k").select("label", F.explode("tokens").alias("token"))
+    several = several.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     again = matrix_rows(docs, words, share, KeyFilter.of_tokens(several)).where(F.size("tokens") > 0)
-    found = tables.write(again.join(labels.withColumnRenamed("node", "k"), "k").select(F.explode("tokens").alias("token"), F.col("k").alias("node"), "label").distinct())
+    found = tables.write(again.join(at, "k").select(F.explode("tokens").alias("token"), F.col("k").alias("node"), "label").distinct())
     counts = found.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "n")
     made = tables.write(found.join(counts, "token"))
     tables.drop(found)
@@ -270,28 +270,33 @@ def _shared_tokens(docs: DataFrame, labels: DataFrame, words: int, share: tuple[
 def blocks(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """`node`, `label`, `size` (of its set), `block`, and the node's bit in its block's mask, as `bit0` and `bit1`.
 
-    A node of a small label goes with the nodes that share its most frequent token. A group has as many blocks as its sets and
-    their shingles need; blocks of large labels have the lesser numbers.
+    A node of a small label goes by the most frequent token of all nodes that share one with it, so that similar nodes which
+    lack their group's most frequent token come to it through others. A group has as many blocks as its sets and their shingles need.
     """
-    nodes = shared.groupBy("node", "label").agg(F.max(F.struct("n", "token")).alias("seat")).join(sets.select("node", F.col("n").alias("size")), "node")
+    own = shared.groupBy("node").agg(F.max(F.struct("n", "token")).alias("best"))
+    near = shared.select("token", "node").join(own, "node").groupBy("token").agg(F.max("best").alias("best"))
+    nodes = shared.join(near, "token").groupBy("node", "label").agg(F.max("best").alias("seat")).join(sets.select("node", F.col("n").alias("size")), "node")
     nodes = nodes.join(nodes.groupBy("label").agg(F.count("*").alias("alike")), "label")
     keyed = nodes.withColumn("own", F.col("alike") >= LARGE).withColumn("key", F.when(F.col("own"), F.xxhash64("label")).otherwise(F.xxhash64("seat.token", F.lit(1))))
     groups = keyed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("buckets"))
     bucket = F.pmod(F.xxhash64("node", F.lit(77)), F.col("buckets"))
-    number = F.pmod(F.xxhash64("key", bucket), F.lit(1 << 62)) + F.when(F.col("own"), 0).otherwise(F.lit(1 << 62))
+    number = F.xxhash64("key", bucket)
     bit = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(MASK))
     half = lambda k: F.expr(f"if(bit div 64 = {k}, shiftleft(1L, int(bit % 64)), 0L)").alias(f"bit{k}")
     return keyed.join(groups, "key").select("node", "label", "size", number.alias("block"), bit.alias("bit")).select("node", "label", "size", "block", half(0), half(1))
 
 
 def meetings(shared: DataFrame, members: DataFrame) -> DataFrame:
-    """`asks`, `block` and masks of the nodes on both sides, for blocks with different labels in a token; the greater block asks."""
+    """`asks`, `block` and masks of the nodes on both sides, for blocks with different labels in a token; the side with fewer nodes asks."""
     at = shared.select("token", "node").join(members, "node")
     matrix = at.groupBy("token", "block").agg(*(F.bit_or(f"bit{k}").alias(f"bits{k}") for k in (0, 1)), F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in matrix.columns[1:])) for side in "xy")
     met = x.join(y, "token").where("block_x >= block_y and (lo_x <> hi_x or lo_y <> hi_y or lo_x <> lo_y)")
     masks = [F.bit_or(f"bits{k}_{side}").alias(f"{name}{k}") for side, name in (("x", "by"), ("y", "of")) for k in (0, 1)]
-    return met.groupBy(F.col("block_x").alias("asks"), F.col("block_y").alias("block")).agg(*masks)
+    pairs = met.groupBy("block_x", "block_y").agg(*masks)
+    fewer = F.expr("bit_count(by0) + bit_count(by1) <= bit_count(of0) + bit_count(of1)")
+    sides = ("block_x", "block_y", "asks", "block"), ("by0", "of0", "by0", "of0"), ("by1", "of1", "by1", "of1")
+    return pairs.select(*(c for x, y, a, b in sides for c in (F.when(fewer, F.col(x)).otherwise(F.col(y)).alias(a), F.when(fewer, F.col(y)).otherwise(F.col(x)).alias(b))))
 
 
 def _dealt(queries: DataFrame) -> DataFrame:
