@@ -20,8 +20,8 @@ WIDE = "decimal(38,0)"
 
 
 def color_hash(v: Column, seed: int = 0) -> Column:
-    """A number under 2^32 from a vertex under 2^31 and a seed, by whole-number arithmetic."""
-    return F.pmod(v * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP), F.lit(MODULUS))
+    """A number under 2^32 from a vertex, by its remainder of 2^31, and a seed, by whole-number arithmetic."""
+    return F.pmod(F.pmod(v, F.lit(1 << 31)) * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP), F.lit(MODULUS))
 
 
 def colored(vertices: DataFrame, colors: int, seed: int = 0, shares: list[float] | None = None) -> DataFrame:

@@ -1,9 +1,8 @@
 """Drawing trees and occurrences in proportion to their counts, so that SQL can draw the same.
 
-Draw i takes the number (i * A + B) mod T: with B uniform in 0..T-1 each draw is uniform, though draws depend
-on each other. The choice of children uses whole-number arithmetic as well. Both numbers are small where samples
-are few (400 samples: under 1.06e12 and 1.62e7), so that of a greater total or weight only the front is drawn:
-`mixed` draws and choices use a hash instead, which reaches all of any total; SQL has no such hash.
+Draw i takes a number from a whole-number mix of i and the seed, modulo the total, and the choice of children one of
+the sample, the place and the seed: cubes modulo primes, which permute the remainders, so all of any total can be
+hit. `mixed` draws and choices use a 126-bit hash instead, which SQL has not.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from hyperloom.functions import treelets
 from hyperloom.plans.storage import settled
 
 A, B = 2654435761, 12345
+#: Primes that leave 2 by 3, so that cubing permutes the remainders; products of two remainders fit 64 bits.
+PRIMES = (2147483579, 2147483549, 2147483543, 2147483489)
 STEP_SAMPLE, STEP_SLOT, STEP_SEED = 40503, 9973, 7919
 BUCKETS = 1024
 
@@ -27,11 +28,26 @@ def _hashed(*parts: Column | str) -> Column:
     return (high * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
 
 
+def _cubed(x: Column, prime: int) -> Column:
+    """Twice a step and the cube, modulo a prime."""
+    for step in (1, 7):
+        r = F.pmod(x + step, F.lit(prime))
+        x = F.pmod(F.pmod(r * r, F.lit(prime)) * r, F.lit(prime))
+    return x
+
+
+def _spread(x: Column, first: int = 0) -> Column:
+    """A number under 2 ** 62 from a whole number, by two of the primes."""
+    return _cubed(x, PRIMES[first]) * F.lit(1 << 31) + _cubed(x, PRIMES[first + 1])
+
+
 def draws(spark: SparkSession, n: int, total: int, b: int = B, mixed: bool = False) -> DataFrame:
     """`sample` from 0 to n-1 and its number `r` under the total."""
     ids = spark.range(n).withColumnRenamed("id", "sample")
-    r = F.pmod(_hashed("sample", F.lit(b)), F.lit(str(total)).cast("decimal(38,0)")) if mixed else F.expr(f"(cast(sample as decimal(20,0)) * {A} + {b}) % cast({total} as decimal(38,0))")
-    return ids.withColumn("r", r.cast("decimal(38,0)"))
+    x = F.col("sample") * STEP_SAMPLE + F.lit(b)
+    plain = _spread(x).cast("decimal(20,0)") * F.lit(str(1 << 62)).cast("decimal(20,0)") + _spread(x, 2).cast("decimal(20,0)")
+    number = _hashed("sample", F.lit(b)) if mixed else plain.cast("decimal(38,0)")
+    return ids.withColumn("r", F.pmod(number, F.lit(str(total)).cast("decimal(38,0)")).cast("decimal(38,0)"))
 
 
 def located(drawn: DataFrame, distribution: DataFrame, total: int) -> DataFrame:
@@ -51,14 +67,12 @@ def sampled_treelets(spark: SparkSession, distribution: DataFrame, n: int, total
 def _target(weight: Column, seed: int, mixed: bool = False) -> Column:
     if mixed:
         return F.pmod(_hashed("sample", "q", F.lit(seed)), weight.cast("decimal(38,0)"))
-    return F.pmod(F.col("sample") * STEP_SAMPLE + F.col("q") * STEP_SLOT + F.lit(seed * STEP_SEED), weight)
+    return F.pmod(_spread(F.col("sample") * STEP_SAMPLE + F.col("q") * STEP_SLOT + F.lit(seed * STEP_SEED)), weight)
 
 
 def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame], k: int, seed: int = 0, mixed: bool = False) -> DataFrame:
     """`sample`, `pos`, `v`: for each sampled tree one of its places in the graph, in proportion to their number.
 
-    Without `mixed` this holds for weights under the number of samples times STEP_SAMPLE only.
-
     A tree at u splits into its first child, at a neighbour, and the rest, at u. Candidates are found once for
     each distinct tree at a vertex, and each sample picks the one that its number falls on. A child stands
     behind its root and before the rest; at most k - 1 rounds.
@@ -106,7 +120,7 @@ def sampled_stars(spark: SparkSession, adj: DataFrame, roots: DataFrame, n: int,
     """
     centres = located(draws(spark, n, total, b), roots, total).select("sample", "v")
     near = centres.join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
-    place = F.pmod(F.col("w") * A + F.col("sample") * STEP_SAMPLE, F.lit(4294967296))
+    place = F.pmod(F.pmod(F.col("w"), F.lit(1 << 31)) * A + F.col("sample") * STEP_SAMPLE, F.lit(4294967296))
     order = Window.partitionBy("sample").orderBy(place, "w")
     leaves = near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k - 1)
     return centres.select("sample", F.lit(0).alias("pos"), "v").unionByName(leaves.select("sample", "pos", F.col("w").alias("v")))

@@ -15,7 +15,7 @@ def totals(table: DataFrame) -> DataFrame:
 
 
 def statistics(table: DataFrame) -> DataFrame:
-    """One row: total, greatest count of a vertex and of a row, rows, whether 64 bits hold the total, bits it needs."""
+    """One row: total, greatest count of a vertex and of a row, rows, and whether 64 bits hold the total."""
     by_vertex = table.groupBy("v").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("of"), F.max("n").alias("most"), F.count("*").alias("rows"))
     one = by_vertex.agg(F.coalesce(F.sum("of"), F.lit(0)).cast("decimal(38,0)").alias("total"), F.max("of").cast("decimal(38,0)").alias("max_vertex"), F.max("most").alias("max_row"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"))
     return one.withColumn("fits_64", F.col("total") < F.expr("cast(18446744073709551616 as decimal(38,0))"))

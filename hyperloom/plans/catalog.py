@@ -371,8 +371,9 @@ def _classes(spark: SparkSession, sf_dir: str, n: int = SAMPLES, b: int = sampli
     return table, total / treelets.colorful_probability(3, 3)
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in names})
+def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    """Estimates are halves of a total by hundreds of samples: with too few digits they lie on the edge between two roundings."""
+    return df.withColumns({c: F.round(c, digits) for c in names})
 
 
 @query
@@ -453,7 +454,7 @@ def homomorphisms(spark, sf_dir):
 @query
 def estimate_occurrences(spark, sf_dir):
     table, total = _classes(spark, sf_dir)
-    return _rounded(estimates.estimated(table, SAMPLES, total), "est_occurrences").select("footprint", "samples", "est_occurrences")
+    return _rounded(estimates.estimated(table, SAMPLES, total), "est_occurrences", digits=7).select("footprint", "samples", "est_occurrences")
 
 
 @query
@@ -478,7 +479,7 @@ def merge_tables(spark, sf_dir):
 def weighted_average(spark, sf_dir):
     (a, total), (b, _) = _classes(spark, sf_dir), _classes(spark, sf_dir, *SECOND)
     both = estimates.weighted_average(estimates.estimated(a, SAMPLES, total), estimates.estimated(b, SECOND[0], total), 0.75, 0.25)
-    return _rounded(both, "est_occurrences").select("footprint", "samples", "est_occurrences", "sampling_algo")
+    return _rounded(both, "est_occurrences", digits=7).select("footprint", "samples", "est_occurrences", "sampling_algo")
 
 
 @query

@@ -47,8 +47,21 @@ DP3 = f"{GRAPH}, {counts(3, 3)}"
 DIST = "dist AS (SELECT v, s, c, n, sum(n) OVER (ORDER BY v, s DESC, c ROWS UNBOUNDED PRECEDING) - n AS lo, sum(n) OVER (ORDER BY v, s DESC, c ROWS UNBOUNDED PRECEDING) AS hi FROM c3)"
 
 
+def _cubed(x: str, prime: int) -> str:
+    for step in (1, 7):
+        r = f"(({x} + {step}) % {prime})"
+        x = f"({r} * {r} % {prime} * {r} % {prime})"
+    return x
+
+
+def _spread(x: str, p: int, q: int) -> str:
+    """A number under 2 ** 62 from cubes modulo two primes."""
+    return f"({_cubed(x, p)} * 2147483648 + {_cubed(x, q)})"
+
+
 def _draws(name: str, n: int, b: int, source: str = "c3") -> str:
-    return f"{name} AS (SELECT i AS sample, (CAST(i AS HUGEINT) * {_A} + {b}) % (SELECT sum(n) FROM {source}) AS r FROM range({n}) t(i))"
+    x = f"(i * 40503 + {b})"
+    return f"{name} AS (SELECT i AS sample, (CAST({_spread(x, 2147483579, 2147483549)} AS HUGEINT) * 4611686018427387904 + {_spread(x, 2147483543, 2147483489)}) % (SELECT sum(n) FROM {source}) AS r FROM range({n}) t(i))"
 
 
 def _drawn(n: int, b: int) -> str:
@@ -66,7 +79,8 @@ def _options(tasks: str, size: int) -> str:
 
 
 def _picked(tasks: str, options: str) -> str:
-    return f"SELECT k.sample, k.v, o.w, k.q, o.c1, o.c2, o.comp_s, o.split_s, o.split_k FROM {tasks} k JOIN {options} o ON k.v = o.v AND k.s = o.s AND k.c = o.c WHERE (k.sample * 40503 + k.q * 9973) % o.total >= o.hi - o.weight AND (k.sample * 40503 + k.q * 9973) % o.total < o.hi"
+    pick = _spread("(k.sample * 40503 + k.q * 9973)", 2147483579, 2147483549)
+    return f"SELECT k.sample, k.v, o.w, k.q, o.c1, o.c2, o.comp_s, o.split_s, o.split_k FROM {tasks} k JOIN {options} o ON k.v = o.v AND k.s = o.s AND k.c = o.c WHERE {pick} % o.total >= o.hi - o.weight AND {pick} % o.total < o.hi"
 
 
 def placed(n: int = SAMPLES, b: int = _B) -> str:
@@ -170,11 +184,11 @@ SQL: dict[str, str] = {
     "spanning_trees_k3": _with(_P, "SELECT sample, CAST(CASE bit_count(bits) WHEN 3 THEN 9 WHEN 2 THEN 3 ELSE 0 END AS BIGINT) AS spanning_trees FROM induced"),
     "spanning_trees_kirchhoff": _with(_P, "SELECT sample, bits, CAST(CASE bit_count(bits) WHEN 3 THEN 9 WHEN 2 THEN 3 ELSE 0 END AS BIGINT) AS spanning_trees FROM induced"),
     "homomorphisms": _with(_P, "SELECT sample, bits, CAST(CASE bit_count(bits) WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS homomorphisms FROM induced"),
-    "estimate_occurrences": _with(_P, f"SELECT footprint, samples, round({_EST}, 4) AS est_occurrences FROM classes, whole"),
+    "estimate_occurrences": _with(_P, f"SELECT footprint, samples, round({_EST}, 7) AS est_occurrences FROM classes, whole"),
     "estimate_frequencies": _with(f"{_P}, est AS (SELECT footprint, {_EST} AS x FROM classes, whole)", "SELECT footprint, round(x / (SELECT sum(x) FROM est), 4) AS est_frequency FROM est"),
     "norm2": _with(_P, f"SELECT round(sqrt(sum(CAST(samples AS DOUBLE) * samples)) / {SAMPLES}, 4) AS norm2 FROM classes"),
     "merge_tables": _with(f"{_P}, other AS {_OTHER}", f"SELECT footprint, coalesce(a.samples, 0) + coalesce(b.samples, 0) AS samples, round((coalesce(a.samples, 0) + coalesce(b.samples, 0)) / ({SAMPLES + SECOND[0]} * coalesce(a.trees, b.trees) / total), 4) AS est_occurrences, 'M' AS sampling_algo FROM classes a FULL JOIN other b USING (footprint), whole"),
-    "weighted_average": _with(f"{_P}, other AS {_OTHER}", f"SELECT footprint, coalesce(a.samples, 0) + coalesce(b.samples, 0) AS samples, round(coalesce(0.75::DOUBLE * (CAST(a.samples AS DOUBLE) / {SAMPLES} * (total / a.trees)) + 0.25::DOUBLE * (CAST(b.samples AS DOUBLE) / {SECOND[0]} * (total / b.trees)), CAST(a.samples AS DOUBLE) / {SAMPLES} * (total / a.trees), CAST(b.samples AS DOUBLE) / {SECOND[0]} * (total / b.trees)), 4) AS est_occurrences, 'W' AS sampling_algo FROM classes a FULL JOIN other b USING (footprint), whole"),
+    "weighted_average": _with(f"{_P}, other AS {_OTHER}", f"SELECT footprint, coalesce(a.samples, 0) + coalesce(b.samples, 0) AS samples, round(coalesce(0.75::DOUBLE * (CAST(a.samples AS DOUBLE) / {SAMPLES} * (total / a.trees)) + 0.25::DOUBLE * (CAST(b.samples AS DOUBLE) / {SECOND[0]} * (total / b.trees)), CAST(a.samples AS DOUBLE) / {SAMPLES} * (total / a.trees), CAST(b.samples AS DOUBLE) / {SECOND[0]} * (total / b.trees)), 7) AS est_occurrences, 'W' AS sampling_algo FROM classes a FULL JOIN other b USING (footprint), whole"),
     "sample_output": _with(_P, "SELECT footprint AS hyper_motif, samples, 'H' AS sampling_algo, CAST(trees AS BIGINT) AS spanning_trees, vertices FROM classes"),
     "star_counts": _with(f"{GRAPH}, {_STARS}", "SELECT v, degree, n AS stars FROM stars"),
     "star_sample": _with(

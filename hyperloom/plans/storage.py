@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in spark.checkpoint.dir (a local one only where that is unset), its lineage cut."""
+    """`df` written to the folder in spark.checkpoint.dir, its lineage cut; where that is unset, a local one if the master is local, else an error."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        where, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not where and master != "local" and not master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="shared-"))
     return df.checkpoint(eager=True)
 
 

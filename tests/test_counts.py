@@ -125,6 +125,19 @@ def test_mixed_choices_reach_all_neighbours_of_a_hub(spark):
     assert len(hits) == 400 and len(set(hits)) > 90 and 150 < sum(v < near // 2 for v in hits) < 250
 
 
+@pytest.mark.parametrize("total", [10**9, 10**14, 10**30])
+def test_plain_draws_and_picks_are_even(spark, total):
+    drawn = [int(r["r"]) for r in sampling.draws(spark, 4000, total).collect()]
+    tenths = [sum(r * 10 // total == k for r in drawn) for k in range(10)]
+    assert len(set(drawn)) > 3990 and all(320 < n < 480 for n in tenths)
+    if total < 1 << 62:
+        at = spark.range(4000).selectExpr("id as sample", "1 as q").select(sampling._target(F.lit(total).cast("long"), 0).alias("at"))
+        tenths = [0] * 10
+        for r in at.collect():
+            tenths[r["at"] * 10 // total] += 1
+        assert all(320 < n < 480 for n in tenths)
+
+
 def test_mixed_draws_reach_all_of_a_great_total(spark):
     for total in (7, 10**13, 3 * 10**18, 10**37):
         drawn = [int(r["r"]) for r in sampling.draws(spark, 400, total, mixed=True).collect()]
