@@ -12,10 +12,11 @@ from hyperloom.plans.storage import numbered
 def hyperedges_from_lines(lines: DataFrame, value: str = "value", line: str | None = None) -> DataFrame:
     """(e, v) of lines that are hyperedges: each run of digits is a vertex, other characters separate.
 
-    Lines without digits are left out, a vertex counts once in a line, equal lines are different hyperedges.
+    Lines without digits are left out, a vertex counts once in a line, equal lines are different hyperedges. A run
+    of digits that no 64-bit number can hold is no vertex.
     `line` is a column that numbers the lines; without one they get numbers by their text's order.
     """
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(value, F.lit("([0-9]+)"), 1), lambda x: x.try_cast("long")))))
     kept = lines.select(*([F.col(line).cast("long").alias("e")] if line else []), found.alias("vs")).where(F.size("vs") > 0)
     if not line:
         kept = numbered(kept.withColumn("_tie", F.monotonically_increasing_id()), [F.col("vs"), F.col("_tie")], "e")

@@ -63,6 +63,26 @@ def test_labelled_records(spark, rows):
     assert rows(labelled.numbered_labels(labelled.from_labels(made, "tag", "question"), by_size=True))[0] == ("a", 2, 1)
 
 
+def test_patent_codes_and_flags(spark, rows):
+    kinds = "patent long, date string, section string, `class` string, subclass string, `group` string, subgroup string, category string, inventive string, sequence string"
+    codes = spark.createDataFrame([(1, "2024", "H", "01", "M", "8", "8/02", None, None, "0"), (2, "2024", "H", "01", "M", "8", "", "Inventional", "0", "7"), (3, "2024", "H", "01", "M", None, "10 /05", None, "maybe", "x"), (4, "2024", "H", "01", None, "8", "8/02", None, "yes", None)], kinds)
+    assert rows(labelled.patent_records(codes, "subgroup")) == [(1, "H01M8/02"), (2, "H01M8/00"), (3, "H01M10/05")]
+    assert rows(labelled.patent_records(codes, "group")) == [(1, "H01M8/00"), (2, "H01M8/00"), (3, "H01M10/05")]
+    assert rows(labelled.patent_records(codes, "class", inventive=True)) == [(1, "H01"), (2, "H01"), (4, "H01")]
+    assert rows(labelled.patent_records(codes, "class", primary=True)) == [(1, "H01"), (3, "H01"), (4, "H01")]
+    posts = spark.createDataFrame([(1, 1, "&lt;c&#43;&#43;&gt;&lt;r&amp;d&gt;"), (2, 1, " |a|d| "), (3, 1, "one"), (4, 1, None), (5, 1, "")], "id long, type int, tags string")
+    assert rows(labelled.question_records(posts)) == [(1, "c++"), (1, "r&d"), (2, "a"), (2, "d"), (3, "one")]
+
+
+def test_digits_and_ids_beyond_their_types(spark, rows):
+    lines = spark.createDataFrame([("1 99999999999999999999999 2",), ("9" * 30,)], "value string")
+    assert rows(text_formats.hyperedges_from_lines(lines)) == [(0, 1), (0, 2)]
+    ids = spark.createDataFrame([(3 * 10**9,), (9 * 10**18,)], "v long")
+    from hyperloom.operators import counting
+
+    assert all(0 <= r["color"] < 3 for r in counting.colored(ids, 3).collect())
+
+
 def test_windows(spark, rows, tmp_path):
     events = spark.createDataFrame([(0, 7), (10, 7), (3599, 8), (3600, 7), (8000, None)], "t long, user_id long").select(F.timestamp_seconds("t").alias("ts"), "user_id")
     want = [(0, 7), (0, 8), (3600, 7)]
