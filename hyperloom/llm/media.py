@@ -28,6 +28,10 @@ TIMESCALE = 25
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 
 
+#: Levels of boxes; files have fewer than ten.
+DEEPEST = 64
+
+
 class MediaError(ValueError):
     """The bytes are no readable ISO media file."""
 
@@ -140,17 +144,40 @@ def _table(data: bytes, at: int, end: int, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(data, kind, count * width, at + 4).astype(np.int64).reshape(count, width)
 
 
-def _walk(data: bytes, start: int, end: int, found: dict, tracks: list[dict]) -> None:
+def _walk(data: bytes, start: int, end: int, found: dict, tracks: list[dict], depth: int = 0) -> None:
+    if depth > DEEPEST:
+        raise MediaError(f"boxes are nested over {DEEPEST} deep")
     for kind, at, stop in boxes(data, start, end):
         if kind == b"trak":
             tracks.append({})
-            _walk(data, at, stop, tracks[-1], tracks)
+            _walk(data, at, stop, tracks[-1], tracks, depth + 1)
         elif kind in CONTAINERS:
-            _walk(data, at + CONTAINERS[kind], stop, found, tracks)
+            _walk(data, at + CONTAINERS[kind], stop, found, tracks, depth + 1)
         else:
             found.setdefault(kind, (at, stop))
 
 
+def _sample_sizes(data: bytes, parts: dict[bytes, tuple[int, int]]) -> np.ndarray | None:
+    """The sizes of all samples, from either kind of table."""
+    if b"stsz" in parts:
+        at, end = parts[b"stsz"]
+        fixed, count = struct.unpack_from(">II", data, at + 4)
+        if fixed and count * fixed > len(data):
+            raise MediaError("samples lie outside the file")
+        return np.full(count, fixed, np.int64) if fixed else _table(data, at + 8, end, ">u4", 1)[:, 0]
+    if b"stz2" not in parts:
+        return None
+    at, end = parts[b"stz2"]
+    bits, count = struct.unpack_from(">II", data, at + 4)
+    bits &= 0xFF
+    if bits not in (4, 8, 16) or at + 12 + (count * bits + 7) // 8 > end:
+        raise MediaError("a sample table is cut off")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", count, at + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, (count * bits + 7) // 8, at + 12)
+    return (raw if bits == 8 else np.stack([raw >> 4, raw & 15], 1).ravel()[:count]).astype(np.int64)
+
+
 def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> Track:
     out = Track()
     try:
@@ -163,16 +190,17 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> Track:
             at, end = parts[b"stsd"]
             first = next(boxes(data, at + 8, end), None)
             out.codec = first[0].decode("latin-1") if first else ""
-        if b"stsz" not in parts:
+        sizes = _sample_sizes(data, parts)
+        if sizes is None:
             return out
-        at, end = parts[b"stsz"]
-        fixed, count = struct.unpack_from(">II", data, at + 4)
-        out.sizes = np.full(count, fixed, np.int64) if fixed else _table(data, at + 8, end, ">u4", 1)[:, 0]
+        out.sizes = sizes
         where = b"co64" if b"co64" in parts else b"stco"
         offsets = _table(data, parts[where][0] + 4, parts[where][1], ">u8" if where == b"co64" else ">u4", 1)[:, 0]
         runs = _table(data, parts[b"stsc"][0] + 4, parts[b"stsc"][1], ">u4", 3)
         if len(offsets) and not len(runs) or len(runs) and runs[0, 0] != 1:
             raise MediaError("the chunk table doesn't cover all chunks")
+        if (np.diff(np.append(runs[:, 0], len(offsets) + 1)) < 0).any():
+            raise MediaError("the chunk table's runs are out of order")
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(offsets) + 1)))
         if per_chunk.sum() != len(out.sizes):
             raise MediaError("the chunk table and the size table differ in their number of samples")
@@ -185,7 +213,7 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> Track:
         out.sync = _table(data, parts[b"stss"][0] + 4, parts[b"stss"][1], ">u4", 1)[:, 0] - 1 if b"stss" in parts else np.arange(len(out.sizes))
         if len(out.sync) and (out.sync.min() < 0 or out.sync.max() >= len(out.sizes)):
             raise MediaError("the keyframe table names samples that there are not")
-    except (struct.error, KeyError) as e:
+    except (struct.error, KeyError, IndexError) as e:
         raise MediaError(f"a sample table is missing or cut off: {e}") from e
     return out
 
@@ -193,9 +221,12 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> Track:
 def read_tracks(data: bytes) -> list[Track]:
     """The tracks of an ISO media file, in file order."""
     tracks: list[dict] = []
-    _walk(data, 0, len(data), {}, tracks)
+    others: dict = {}
+    _walk(data, 0, len(data), others, tracks)
     if not tracks:
         raise MediaError("no track")
+    if b"trun" in others:
+        raise MediaError("samples in fragments are not read")
     return [_track(data, parts) for parts in tracks]
 
 
@@ -221,7 +252,7 @@ def _ranges(tables: list[np.ndarray]) -> pa.Array:
 def media_columns(df: DataFrame, key: str, content: str) -> DataFrame:
     """Codec, duration and keyframe ranges of the first track of each file in a binary column.
 
-    One row per input row: `key` and the columns of MEDIA_SCHEMA. Null, empty or unreadable bytes give
+    One row per input row: `key` and the columns of MEDIA_SCHEMA. Null, empty, damaged or fragmented files give
     a row with `error` set, no keyframes and nulls elsewhere. Other input columns are not read.
     """
 

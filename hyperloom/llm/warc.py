@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -243,12 +244,23 @@ def pages_of(records: DataFrame) -> DataFrame:
     """The pages of response and revisit records, with the length and SHA-1 of their full payloads.
 
     A response's come from the payload as read, a revisit's from its stored header; `damaged` marks a
-    response whose payload does not have the digest that its record states.
+    response whose payload does not have the digest that its record states, null if that is no SHA-1. Numbers and digests
+    that can't be read are null, so archives of other writers give rows too.
     """
 
+    def sha1_of(value: str) -> str | None:
+        text = value.strip().removeprefix("sha1:")
+        if len(text) == 40 and not set(text.lower()) - set("0123456789abcdef"):
+            return text.lower()
+        try:
+            raw = base64.b32decode(text, casefold=True)
+        except ValueError:
+            return None
+        return raw.hex() if len(raw) == 20 else None
+
     def number(value: str | None) -> int | None:
         text = (value or "").strip("<>").removeprefix(PAGE)
-        return int(text) if text.lstrip("-").isdigit() else None
+        return int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
@@ -260,11 +272,11 @@ def pages_of(records: DataFrame) -> DataFrame:
                     continue
                 head, _, payload = b.partition(b"\r\n\r\n")
                 http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-                stated = base64.b32decode(f.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
+                stated = sha1_of(f.get("warc-payload-digest", ""))
                 revisit = f["warc-type"] == "revisit"
                 digest = stated if revisit else hashlib.sha1(payload).hexdigest()
-                size = int(http.get(b"content-length", b"0")) if revisit else len(payload)
-                rows.append((number(f.get("warc-record-id")), f.get("warc-target-uri"), size, digest, f["warc-type"], number(f.get("warc-refers-to")), digest != stated))
+                size = number(http.get(b"content-length", b"0").decode("latin-1")) if revisit else len(payload)
+                rows.append((number(f.get("warc-record-id")), f.get("warc-target-uri"), size, digest, f["warc-type"], number(f.get("warc-refers-to")), stated and digest != stated))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PAGE_SCHEMA.split(", ")])
 

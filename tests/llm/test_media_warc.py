@@ -112,3 +112,50 @@ def test_member_that_ends_otherwise():
     row = warc.row_of(b"x" * (1 << 24))
     assert gzip.decompress(row + b"\0") == b"x" * (1 << 24)
     assert np.frombuffer(warc.row_of(b"a") + b"\0", np.uint8)[-1] == 0
+
+
+def test_damaged_files_give_media_errors():
+    deep = b""
+    for _ in range(1200):
+        deep = box(b"moov", deep)
+    good = media.mux(media.padded(bytes(range(256)) * 40))
+    at = good.index(b"stsz")
+    huge = good[: at + 8] + struct.pack(">II", 64, 2**32 - 1) + good[at + 16 :]
+    table = lambda kind, body: box(kind, b"\0" * 4 + body)
+    falling = box(b"moov", box(b"trak", table(b"stsz", struct.pack(">II", 1, 4)) + table(b"stco", struct.pack(">III", 2, 0, 0)) + table(b"stsc", struct.pack(">I6I", 2, 1, 2, 1, 0, 2, 1))))
+    fragments = box(b"moov", box(b"trak", b"")) + box(b"moof", box(b"traf", table(b"trun", b"")))
+    for data in (deep, huge, falling, fragments, b"", b"\0" * 7):
+        with pytest.raises(media.MediaError):
+            media.read_tracks(data)
+    rng = random.Random(5)
+    for _ in range(400):
+        raw = bytearray(good[: at + 200])
+        for _ in range(rng.randint(1, 4)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        try:
+            media.read_tracks(bytes(raw) + good[at + 200 :])
+        except media.MediaError:
+            pass
+
+
+@pytest.mark.parametrize(("bits", "raw"), [(4, b"\x12\x30"), (8, b"\x01\x02\x03"), (16, b"\0\1\0\2\0\3")])
+def test_compact_sizes(bits, raw):
+    table = lambda kind, body: box(kind, b"\0" * 4 + body)
+    parts = table(b"stz2", struct.pack(">II", bits, 3) + raw) + table(b"stco", struct.pack(">II", 1, 4)) + table(b"stsc", struct.pack(">I3I", 1, 1, 3, 1))
+    (track,) = media.read_tracks(box(b"moov", box(b"trak", parts)) + bytes(50))
+    assert track.sizes.tolist() == [1, 2, 3] and track.starts.tolist() == [4, 5, 7]
+
+
+def test_foreign_records(spark):
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\nabc"
+    digest = hashlib.sha1(b"abc").hexdigest()
+    rows = [
+        ({"warc-type": "response", "warc-payload-digest": "sha256:xyz", "warc-record-id": "<urn:uuid:1>"}, body),
+        ({"warc-type": "response", "warc-payload-digest": f"sha1:{digest.upper()}"}, body),
+        ({"warc-type": "response", "warc-payload-digest": "sha1:" + "0" * 40}, body),
+        ({"warc-type": "revisit", "warc-payload-digest": "md5:1"}, body),
+        ({"warc-type": "warcinfo"}, b""),
+    ]
+    got = sorted((r["record_type"], r["payload_bytes"], r["payload_digest"], r["damaged"]) for r in warc.pages_of(spark.createDataFrame(rows, "fields map<string,string>, block binary")).collect() if r["damaged"] is not None)
+    assert got == [("response", 3, digest, False), ("response", 3, digest, True)]
+    assert warc.pages_of(spark.createDataFrame(rows, "fields map<string,string>, block binary")).count() == 4
