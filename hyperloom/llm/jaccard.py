@@ -9,9 +9,11 @@ one are partitioned into groups of similar sets: the nodes of a large label, and
 most frequent token; groups are stored in blocks of bounded size, each with the union of its sets' shingles.
 A row of the matrix tells which blocks have a token and, by a bitmask, which of a block's nodes. Blocks that meet
 in a token give one row with masks of the nodes on both sides, so the rows grow with the blocks, not the pairs of
-nodes. Each such node is a query; its overlap with the other block's stored union bounds its overlap with every
-member, and only blocks whose bound allows a link are opened, where sets are compared exactly, all at once. Links
-are handed on once for each two labels, and links within a label never.
+nodes. Each such node is a query. Sketches of a few bits a shingle, whose difference is never more than that of the
+sets, first leave out the queries and members that can't link, so that their texts stay where they are. A query's
+overlap with the other block's stored union then bounds its overlap with every member, and only blocks whose bound
+allows a link are opened, where sets are compared exactly, all at once. Links are handed on once for each two labels,
+and links within a label never.
 
 Hash values have 64 bits; sets with equal 128-bit digests count as equal.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.bpe import PieceHash, mixed
-from hyperloom.llm.columnar import by_batch, id_and_text, steps, utf8_buffers
+from hyperloom.llm.columnar import by_batch, id_and_text, settled, steps, utf8_buffers
 from hyperloom.llm.shared import HASHES, KeyFilter, Tables
 
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F), np.uint64(0xD1B54A32D192ED03))
@@ -36,6 +38,8 @@ BLOCK, BLOCK_SHINGLES, LARGE = 128, 1 << 21, 64
 MASK = 128
 #: Shingles that one step of a comparison counts.
 COUNTED = 1 << 15
+#: Words of sketches that one step compares, and how many times more queries meet a block's sketches at once than its texts.
+COMPARED, AT_ONCE = 1 << 20, 8
 _word_hash = PieceHash(11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -299,15 +303,15 @@ def meetings(shared: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(*(c for x, y, a, b in sides for c in (F.when(fewer, F.col(x)).otherwise(F.col(y)).alias(a), F.when(fewer, F.col(y)).otherwise(F.col(x)).alias(b))))
 
 
-def _dealt(queries: DataFrame) -> DataFrame:
-    """`block` and `parts`, over which its queries are dealt."""
-    return queries.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+def _dealt(queries: DataFrame, at_once: int = 1) -> DataFrame:
+    """`block` and `parts`, over which its queries are dealt, `at_once` blocks of them to a part."""
+    return queries.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / (BLOCK * at_once), F.sum("size") / (BLOCK_SHINGLES * at_once))).cast("long").alias("parts"))
 
 
-def _with_texts(queries: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Queries with the part of the block that each goes to, and its text."""
-    dealt = queries.join(parts, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    return dealt.join(texts, "node").select("block", "part", "node", "label", "t")
+def _asking(queries: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Queries with the part of the block that each goes to, and the rows of their nodes."""
+    dealt = queries.drop("size").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    return dealt.join(rows, "node")
 
 
 def _copies(stored: DataFrame, parts: DataFrame) -> DataFrame:
@@ -316,6 +320,93 @@ def _copies(stored: DataFrame, parts: DataFrame) -> DataFrame:
     return each.select(*(F.col(c).alias(f"{c}_of") for c in ("part", *stored.columns)))
 
 
+def parities(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of sets, joined, and where each one's bytes start.
+
+    A sketch has a power of two of bits, two to four for each shingle; a bit is the parity of the number of shingles
+    that hash to it. Two sets differ by as many shingles at least as their sketches differ in bits.
+    """
+    sizes = np.diff(ends)
+    bits = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    slot = np.sort(base[of] + (mixed(flat ^ np.uint64(0x8CB92BA72F3D8DD7)) & (bits[of] - 1).astype(np.uint64)).astype(np.int64))
+    runs = np.flatnonzero(np.diff(slot, prepend=-1))
+    odd = np.diff(np.append(runs, len(slot))) % 2 == 1
+    flags = np.zeros(int(bits.sum()), bool)
+    flags[slot[runs[odd]]] = True
+    return np.packbits(flags, bitorder="little"), np.append(0, np.cumsum(bits // 8))
+
+
+def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of sketches as 64-bit words, halved until they have so many bits."""
+    while sketches.shape[1] * 8 > bits:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return np.ascontiguousarray(sketches).view(np.uint64)
+
+
+def may_link(sizes: tuple[np.ndarray, np.ndarray], labels: tuple[np.ndarray, np.ndarray], sketches: tuple[pa.Array, pa.Array], share: tuple[int, int]) -> np.ndarray:
+    """Which sets of the left (rows) and of the right have other labels and sizes and sketches that allow a link; no link is lost."""
+    low, high = share
+    raw, at = zip(*(_bytes_of(s) for s in sketches), strict=True)
+    bits = [np.diff(x) * 8 for x in at]
+    fit = labels[0][:, None] != labels[1]
+    fit &= np.minimum(sizes[0][:, None], sizes[1]) * high >= np.maximum(sizes[0][:, None], sizes[1]) * low
+    for a in np.unique(bits[0]).tolist():
+        rows = np.flatnonzero(bits[0] == a)
+        for b in np.unique(bits[1]).tolist():
+            columns = np.flatnonzero(bits[1] == b)
+            part = np.ix_(rows, columns)
+            if not fit[part].any():
+                continue
+            x = folded(raw[0][at[0][rows][:, None] + np.arange(a // 8)], min(a, b))
+            y = folded(raw[1][at[1][columns][:, None] + np.arange(b // 8)], min(a, b))
+            differ, step = np.zeros((len(x), len(y)), np.int64), max(1, COMPARED // (len(x) * len(y)))
+            for w in range(0, x.shape[1], step):
+                differ += np.bitwise_count(x[:, None, w : w + step] ^ y[None, :, w : w + step]).sum(axis=2, dtype=np.int64)
+            fit[part] &= differ * (low + high) <= (high - low) * (sizes[0][rows][:, None] + sizes[1][columns])
+    return fit
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes of a binary column without nulls, and where each value starts."""
+    return utf8_buffers(column.cast(pa.large_binary()).view(pa.large_string()))
+
+
+def sketched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """`node` and `sketch` of the documents that may be among `nodes`."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = parities(*shingles(*utf8_buffers(part.column(1)), words))
+        made = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([part.column(0), made], ["node", "sketch"])
+
+    return by_batch(texts_of(docs, nodes), make, "node long, sketch binary")
+
+
+def _near(queries: DataFrame, opened: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The queries (node, block, own) that some member of the block may link with, by their sketches, as `asks`, and these members."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        both = [t.combine_chunks() for t in (left, right)]
+        if left.num_rows and right.num_rows:
+            named = [[t[f"{c}{end}"].combine_chunks() for c in ("size", "label", "sketch")] for t, end in zip(both, ("_of", ""), strict=True)]
+            sizes, labels, sketches = zip(*named, strict=True)
+            fit = may_link(tuple(c.to_numpy() for c in sizes), tuple(c.to_numpy() for c in labels), sketches, share)
+        else:
+            fit = np.zeros((left.num_rows, right.num_rows), bool)
+        members = both[0].select(["node_of", "block_of"]).rename_columns(["node", "block"]).filter(pa.array(fit.any(axis=1)))
+        members = members.append_column("own", pa.array(np.ones(members.num_rows, bool))).append_column("asks", pa.array(np.zeros(members.num_rows, bool)))
+        asking = both[1].select(["node", "block", "own"]).filter(pa.array(fit.any(axis=0)))
+        return pa.concat_tables([members, asking.append_column("asks", pa.array(np.ones(asking.num_rows, bool)))])
+
+    parts = _dealt(queries, AT_ONCE)
+    left = _copies(opened.select("block", "node", "label", "size", "sketch"), parts)
+    right = _asking(queries, parts, drawn.select("node", "label", "size", "sketch"))
+    return left.groupBy("block_of", "part_of").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "node long, block long, own boolean, asks boolean")
+
+
 def stored_unions(texts: DataFrame, words: int) -> DataFrame:
     """`block` and `shingles`, the sorted 32-bit ends of the shingle hashes of all its sets.
 
@@ -349,7 +440,7 @@ def _allowed(queries: DataFrame, unions: DataFrame, texts: DataFrame, words: int
         return right.select(["node", "block"]).filter(pa.array(good))
 
     parts = _dealt(queries)
-    asking = _with_texts(queries, parts, texts)
+    asking = _asking(queries, parts, texts)
     return _copies(unions, parts).groupBy("block_of", "part_of").cogroup(asking.groupBy("block", "part")).applyInArrow(bound, "node long, block long")
 
 
@@ -369,25 +460,33 @@ def _links(queries: DataFrame, opened: DataFrame, texts: DataFrame, words: int,
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
     parts = _dealt(queries)
-    left, right = _copies(opened.select("block", "label", "t"), parts), _with_texts(queries, parts, texts)
+    left, right = _copies(opened.select("block", "label", "t"), parts), _asking(queries, parts, texts)
     return left.groupBy("block_of", "part_of").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "a long, b long")
 
 
 def _links_of_blocks(docs: DataFrame, members: DataFrame, met: DataFrame, words: int, share: tuple[int, int], tables: Tables) -> DataFrame:
-    """Links between labels, by bounds against the stored unions and then by opening the blocks that qualify."""
-    texts = texts_of(docs, members.select("node")).join(members.withColumnRenamed("node", "k"), "k").withColumnRenamed("k", "node")
-    texts = tables.write(texts.select("node", "label", "size", "block", "bit0", "bit1", "t"))
-    own, other = met.where("asks = block"), met.where("asks <> block")
+    """Links between labels: by sketches, then by bounds against the stored unions, then by opening the blocks that qualify.
+
+    Only nodes whose sketch comes near enough to one of the other side have their texts shuffled.
+    """
     has = lambda name: (F.col(f"{name}0").bitwiseAND(F.col("bit0")) != 0) | (F.col(f"{name}1").bitwiseAND(F.col("bit1")) != 0)
-    asking = lambda met: met.select(F.col("block").alias("to"), "by0", "by1", F.col("asks").alias("block")).join(members, "block").where(has("by")).select("node", F.col("to").alias("block"), "size")
-    unions = tables.write(stored_unions(texts.join(other.select("block").distinct(), "block", "left_semi"), words))
+    drawn = tables.write(sketched(docs, members.select("node"), words).join(members, "node"))
+    asked = met.select(F.col("block").alias("to"), "by0", "by1", F.col("asks").alias("block")).join(members, "block").where(has("by"))
+    asked = asked.select("node", F.col("to").alias("block"), (F.col("to") == F.col("block")).alias("own"), "size")
+    masks = met.groupBy("block").agg(F.bit_or("of0").alias("of0"), F.bit_or("of1").alias("of1"))
+    near = tables.write(_near(asked, drawn.join(masks, "block").where(has("of")), drawn, share).distinct())
+    keys = near.groupBy("node").agg(F.bool_or(~F.col("asks")).alias("open"))
+    texts = texts_of(docs, keys.select("node")).withColumnRenamed("k", "node").join(keys, "node").join(members.select("node", "label", "size", "block"), "node")
+    texts = tables.write(texts)
     named = texts.select("node", "label", "t")
-    good = _allowed(asking(other), unions, named, words, share).join(members.select("node", "size"), "node").select("node", "block", "size")
-    queries = tables.write(good.unionByName(asking(own)))
-    masks = met.groupBy("block").agg(F.bit_or("of0").alias("of0"), F.bit_or("of1").alias("of1")).join(queries.select("block").distinct(), "block")
-    opened = texts.join(masks, "block").where(has("of"))
-    links = tables.write(_links(queries, opened, named, words, share).distinct())
-    tables.drop(texts, unions, queries)
+    queries = near.where("asks").join(members.select("node", "size"), "node").select("node", "block", "own", "size")
+    own, other = queries.where("own").drop("own"), queries.where("not own").drop("own")
+    opened = texts.where("open")
+    unions = tables.write(stored_unions(opened.join(other.select("block").distinct(), "block", "left_semi"), words))
+    good = _allowed(other, unions, named, words, share).join(members.select("node", "size"), "node").select("node", "block", "size")
+    queries = tables.write(good.unionByName(own))
+    links = tables.write(_links(queries, opened.join(queries.select("block").distinct(), "block", "left_semi"), named, words, share).distinct())
+    tables.drop(drawn, near, texts, unions, queries)
     return links
 
 
@@ -429,6 +528,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of `df`, all columns, that are the least of their component; rows with a null key all stay."""
     found = similar_components(df, key, text, words, share)
-    firsts = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    stays = df.join(firsts, F.col(f"`{key}`") == F.col("_first"), "left_semi")
-    return stays.unionByName(df.where(F.col(f"`{key}`").isNull()))
+    gone = settled(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("k")).distinct())
+    chosen = df.sparkSession.sparkContext.broadcast(KeyFilter.of(gone))
+
+    @F.arrow_udf("boolean")
+    def may_go(hashes: pa.Array) -> pa.Array:
+        return pa.array(chosen.value.has(hashes.flatten().to_numpy().reshape(-1, HASHES)))
+
+    own = F.col(f"`{key}`").cast("long")
+    name = "_gone" + "_" * max(map(len, df.columns))
+    asked = may_go(KeyFilter.places(own))
+    checked_rows = df.where(asked).join(gone.withColumnRenamed("k", name), own == F.col(name), "left_anti")
+    return df.where(~asked).unionByName(checked_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.columnar import settled, shared_dir
@@ -83,9 +83,9 @@ class KeyFilter:
         return cls(out)
 
     @staticmethod
-    def places(name: str):
-        """The column that `has` needs: the hashes of a key column, made by Spark."""
-        return F.array(*(F.xxhash64(F.col(name), F.lit(k)) for k in range(HASHES)))
+    def places(key: str | Column) -> Column:
+        """The column that `has` needs: the hashes of a key column of type long, made by Spark."""
+        return F.array(*(F.xxhash64(key, F.lit(k)) for k in range(HASHES)))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Whether keys, given by rows of hashes, may be in the set."""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hyperloom.llm import jaccard
@@ -98,3 +99,27 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(docs).collect()}
     assert got == components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 5, (80, 100))
+
+
+@pytest.mark.parametrize("share", [(85, 100), (80, 100), (1, 2)])
+def test_sketches_lose_no_link(share):
+    rng, sets = random.Random(4), []
+    for _ in range(50):
+        n = rng.choice([1, 5, 50, 64, 65, 300, 2000])
+        base = rng.sample(range(10**12), n)
+        sets += [set(base), set(base[: max(1, int(n * rng.uniform(0.5, 1)))]) | set(rng.sample(range(10**12), int(n * rng.uniform(0, 0.2))))]
+    ends = np.append(0, np.cumsum([len(x) for x in sets]))
+    data, at = jaccard.parities(np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in sets]), ends)
+    column = pa.array([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    sizes, labels = np.diff(ends), np.arange(len(sets))
+    got = jaccard.may_link((sizes, sizes), (labels, labels), (column, column), share)
+    true = np.array([[a is not b and len(a & b) * share[1] >= share[0] * len(a | b) for b in sets] for a in sets])
+    assert true.sum() > 20 and not (true & ~got).any() and got.sum() < true.sum() * 2 + 40
+    assert not jaccard.may_link((sizes, sizes), (labels * 0, labels * 0), (column, column), share).any()
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    df = spark.createDataFrame([(2, "a b c", [1], "x"), (1, "A b c", None, "y"), (None, "a b c", [], None), (3, None, [2], "z")], "doc_id int, text string, k array<int>, _gone string")
+    got = jaccard.one_of_each(df)
+    assert got.schema == df.schema
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, "A b c", None, "y"), (None, "a b c", [], None), (3, None, [2], "z")], key=repr)
