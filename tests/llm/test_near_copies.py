@@ -104,7 +104,7 @@ def test_documents(spark):
 @pytest.mark.parametrize("share", [(85, 100), (80, 100), (1, 2)])
 def test_sketches_lose_no_link(share):
     rng, sets = random.Random(4), []
-    for _ in range(50):
+    for _ in range(150):
         n = rng.choice([1, 5, 50, 64, 65, 300, 2000])
         base = rng.sample(range(10**12), n)
         sets += [set(base), set(base[: max(1, int(n * rng.uniform(0.5, 1)))]) | set(rng.sample(range(10**12), int(n * rng.uniform(0, 0.2))))]
