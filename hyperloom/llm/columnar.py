@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes that one step of a batch operator holds at once; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

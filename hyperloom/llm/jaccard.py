@@ -20,13 +20,15 @@ Hash values have 64 bits; sets with equal 128-bit digests count as equal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.llm.bpe import PieceHash, mixed
-from hyperloom.llm.columnar import by_batch, id_and_text, settled, steps, utf8_buffers
+from hyperloom.llm.columnar import by_batch, give_back, id_and_text, settled, steps, utf8_buffers
 from hyperloom.llm.shared import HASHES, KeyFilter, Tables
 
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC13FA9A902A6328F), np.uint64(0xD1B54A32D192ED03))
@@ -193,16 +195,18 @@ def matrix_rows(docs: DataFrame, words: int, share: tuple[int, int], only: KeyFi
     return by_batch(docs, make, "k long, tokens array<long>")
 
 
-def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents that may be among `keys`, by a bounded filter before any shuffle."""
+def texts_of(docs: DataFrame, keys: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "k long, t string") -> DataFrame:
+    """The documents that may be among `keys`, by a bounded filter before any shuffle, or what `make` makes of steps of them."""
     chosen = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(keys))
 
     def run(batches):
         for batch in batches:
             hashes = batch.column(2).flatten().to_numpy().reshape(-1, HASHES)
-            yield batch.select([0, 1]).filter(pa.array(chosen.value.has(hashes)))
+            found = batch.select([0, 1]).filter(pa.array(chosen.value.has(hashes)))
+            yield from map(make, steps(found, 1)) if make else (found,)
+        give_back()
 
-    return docs.where("k is not null").withColumn("h", KeyFilter.places("k")).mapInArrow(run, "k long, t string")
+    return docs.where("k is not null").withColumn("h", KeyFilter.places("k")).mapInArrow(run, schema)
 
 
 def checked(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -382,7 +386,7 @@ def sketched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         made = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([part.column(0), made], ["node", "sketch"])
 
-    return by_batch(texts_of(docs, nodes), make, "node long, sketch binary")
+    return texts_of(docs, nodes, make, "node long, sketch binary")
 
 
 def _near(queries: DataFrame, opened: DataFrame, drawn: DataFrame, share: tuple[int, int]) -> DataFrame:

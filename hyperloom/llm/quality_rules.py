@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.columnar import by_batch, settled, steps, utf8_buffers
+from hyperloom.llm.columnar import by_batch, give_back, settled, steps, utf8_buffers
 
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -28,7 +28,7 @@ CLASS_LIMIT, WORD_LIMIT = 0.30, 0.40
 COMMON = 1 / 500
 CLASS_NAMES = ("lower", "upper", "digit", "blank", "mark", "symbol", "other_ascii", "beyond_ascii")
 #: Words that one task counts before it hands its counts on.
-COUNTED = 300_000
+COUNTED = 100_000
 
 
 def _class_table() -> np.ndarray:
@@ -91,12 +91,13 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
                 for a, b, name, row in zip(at, at[1:], part.column(1).to_pylist(), class_counts(data, offsets).tolist(), strict=False):
                     words.setdefault(name, Counter()).update(raw[a:b].split())
                     classes.setdefault(name, Counter()).update({b" %d" % k: n for k, n in enumerate(row)})
-            if sum(map(len, words.values())) > COUNTED:
-                yield counted(words)
-                words = {}
+                if sum(map(len, words.values())) > COUNTED:
+                    yield counted(words)
+                    words = {}
         if words or classes:
             yield counted(words)
             yield counted(classes)
+        give_back()
 
     # a class is counted under a blank and its number, which is no word
     counts = settled(rows.mapInArrow(run, "l string, w binary, n long").groupBy("l", "w").agg(F.sum("n").alias("n")))

@@ -114,7 +114,8 @@ def test_sketches_lose_no_link(share):
     sizes, labels = np.diff(ends), np.arange(len(sets))
     got = jaccard.may_link((sizes, sizes), (labels, labels), (column, column), share)
     true = np.array([[a is not b and len(a & b) * share[1] >= share[0] * len(a | b) for b in sets] for a in sets])
-    assert true.sum() > 20 and not (true & ~got).any() and got.sum() < true.sum() * 2 + 40
+    assert true.sum() > 20 and not (true & ~got).any()
+    assert share == (1, 2) or got.sum() < true.sum() * 2  # sketches of sets that may differ by two thirds tell little
     assert not jaccard.may_link((sizes, sizes), (labels * 0, labels * 0), (column, column), share).any()
 
 
