@@ -92,3 +92,16 @@ def count_tables(adj: DataFrame, colors: DataFrame, k: int, at_first_color: bool
         made = normalised(combined(tables, sums, size, chosen), size)
         out[size] = hold(made) if size < k else made
     return out
+
+
+def looked_up(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The counts at given (v, s, c), 0 where the table has none; one row for each key, also for repeated ones."""
+    kind = table.schema["n"].dataType
+    return keys.select("v", "s", "c").join(table, ["v", "s", "c"], "left").select("v", "s", "c", F.coalesce("n", F.lit(0).cast(kind)).alias("n"))
+
+
+def sums_at(table: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The sum of all counts at each of the given vertices, 0 where the table has none."""
+    kind = table.schema["n"].dataType
+    sums = table.groupBy("v").agg(F.sum("n").cast(kind).alias("n"))
+    return vertices.select("v").distinct().join(sums, "v", "left").select("v", F.coalesce("n", F.lit(0).cast(kind)).alias("n"))

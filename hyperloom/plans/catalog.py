@@ -340,6 +340,24 @@ def sizes_in_range(spark, sf_dir):
     return tables.of_sizes(made[1].unionByName(made[2]).unionByName(made[3]), 2, 2)
 
 
+@query
+def count_lookup(spark, sf_dir):
+    made = _counts(spark, sf_dir)[1]
+    keys = made[1].select("v", F.lit(treelets.path(3)).cast("long").alias("s"), F.lit(7).cast(made[3].schema["c"].dataType).alias("c"))
+    return counting.looked_up(made[3], keys)
+
+
+@query
+def sums_at_vertices(spark, sf_dir):
+    made = _counts(spark, sf_dir)[1]
+    return counting.sums_at(made[3], made[1])
+
+
+@query
+def rescaled_estimates(spark, sf_dir):
+    return estimates.rescaled(estimate_occurrences(spark, sf_dir), 0.5)
+
+
 @query
 def representative_totals(spark, sf_dir):
     return tables.representative_totals(_counts(spark, sf_dir, 4)[1][4], 4)

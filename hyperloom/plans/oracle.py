@@ -164,6 +164,8 @@ SQL: dict[str, str] = {
     "fuse_low_high": _with(DP3, "SELECT v, s, c, n FROM c3"),
     "merged_shards": _with(DP3, "SELECT v, s, c, n FROM c2"),
     "treelet_totals": _with(DP3, "SELECT s, c, CAST(sum(n) AS BIGINT) AS n FROM c3 GROUP BY s, c"),
+    "count_lookup": _with(DP3, f"SELECT o.v, CAST({treelets.path(3)} AS BIGINT) AS s, CAST(7 AS INTEGER) AS c, coalesce(t.n, 0) AS n FROM c1 o LEFT JOIN c3 t ON t.v = o.v AND t.s = {treelets.path(3)} AND t.c = 7"),
+    "sums_at_vertices": _with(DP3, "SELECT o.v, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n FROM c1 o LEFT JOIN c3 t ON t.v = o.v GROUP BY o.v"),
     "table_stats": _with(f"{DP3}, w AS (SELECT v, sum(n) AS x FROM c3 GROUP BY v)", "SELECT CAST((SELECT sum(n) FROM c3) AS BIGINT) AS total, CAST((SELECT max(x) FROM w) AS BIGINT) AS max_vertex, (SELECT max(n) FROM c3) AS max_row, (SELECT count(*) FROM c3) AS n_rows, true AS fits_64"),
     "root_weights": _with(DP3, "SELECT v, CAST(sum(n) AS BIGINT) AS weight FROM c3 GROUP BY v"),
     "prefix_cdf": _with(f"{DP3}, {DIST}", "SELECT v, s, c, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM dist"),
@@ -208,3 +210,4 @@ SQL: dict[str, str] = {
     "decompose_path": "SELECT CAST(sum(CASE WHEN i < k - 1 THEN CAST(1 AS BIGINT) << (31 - i) ELSE 0 END) AS BIGINT) AS s FROM range(1, 7) a(k), range(6) b(i) GROUP BY k",
     "treelet_dimension": "SELECT * FROM (VALUES (2, CAST(1 AS BIGINT)), (3, 2), (4, 4), (5, 9)) t(k, trees)",
 }
+SQL["rescaled_estimates"] = f"SELECT footprint, samples, est_occurrences * 0.5 AS est_occurrences FROM ({SQL['estimate_occurrences']})"
