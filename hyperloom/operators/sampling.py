@@ -7,19 +7,20 @@ hit. `mixed` draws and choices use a 126-bit hash instead, which SQL has not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.functions import treelets
-from hyperloom.plans.storage import settled
+from hyperloom.plans.storage import running, settled
 
 A, B = 2654435761, 12345
 #: Primes that leave 2 by 3, so that cubing permutes the remainders; products of two remainders fit 64 bits.
 PRIMES = (2147483579, 2147483549, 2147483543, 2147483489)
 STEP_SAMPLE, STEP_SLOT, STEP_SEED = 40503, 9973, 7919
-BUCKETS = 1024
+BUCKETS, CIRCLE = 1024, 4294967296
 
 
 def _hashed(*parts: Column | str) -> Column:
@@ -50,18 +51,21 @@ def draws(spark: SparkSession, n: int, total: int, b: int = B, mixed: bool = Fal
     return ids.withColumn("r", F.pmod(number, F.lit(str(total)).cast("decimal(38,0)")).cast("decimal(38,0)"))
 
 
-def located(drawn: DataFrame, distribution: DataFrame, total: int) -> DataFrame:
-    """Each draw with the row whose [lo, hi) has its number: an equi-join on buckets of the number, then the interval."""
+def located(drawn: DataFrame, distribution: DataFrame, total: int, n: int = 0) -> DataFrame:
+    """Each draw with the row whose [lo, hi) has its number: an equi-join on buckets of the number, then the interval.
+
+    With as many buckets as draws, `n`, the rows made and the pairs compared are about the rows and the draws together.
+    """
     if not total:
         return drawn.crossJoin(distribution.limit(0))
-    width = max(1, total // BUCKETS)
+    width = max(1, total // max(BUCKETS, n))
     rows = distribution.withColumn("bucket", F.explode(F.expr(f"sequence(cast(lo div {width} as bigint), cast((hi - 1) div {width} as bigint))")))
     return drawn.withColumn("bucket", F.expr(f"cast(r div {width} as bigint)")).join(rows, "bucket").where("r >= lo and r < hi").drop("bucket")
 
 
 def sampled_treelets(spark: SparkSession, distribution: DataFrame, n: int, total: int, b: int = B, mixed: bool = False) -> DataFrame:
     """`sample`, root `v`, structure `s`, colors `c` and its count `n`."""
-    return located(draws(spark, n, total, b, mixed), distribution, total).select("sample", "v", "s", "c", "n")
+    return located(draws(spark, n, total, b, mixed), distribution, total, n).select("sample", "v", "s", "c", "n")
 
 
 def _target(weight: Column, seed: int, mixed: bool = False) -> Column:
@@ -70,12 +74,34 @@ def _target(weight: Column, seed: int, mixed: bool = False) -> Column:
     return F.pmod(_spread(F.col("sample") * STEP_SAMPLE + F.col("q") * STEP_SLOT + F.lit(seed * STEP_SEED)), weight)
 
 
-def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame], k: int, seed: int = 0, mixed: bool = False) -> DataFrame:
+def _picked(tasks: DataFrame, options: DataFrame, seed: int, mixed: bool) -> DataFrame:
+    """Each task with the candidate, in the order of `w` and `c2`, that its number falls on.
+
+    Candidates of a tree at a vertex get running weights over ranges and as many buckets as it has tasks. Buckets come
+    from one rising function of the place, for tasks and candidates alike, so the join finds the right one.
+    """
+    key = ["v", "s", "c"]
+    options = settled(options)
+    facts = options.groupBy(*key).agg(F.sum("weight").alias("total")).join(tasks.groupBy(*key).agg(F.count("*").alias("tasks")), key)
+    facts = settled(facts)
+
+    def bucket(place: Column) -> Column:
+        return F.floor(place.cast("double") / F.col("total").cast("double") * F.col("tasks")).cast("long")
+
+    ranged = running(options, [F.col("w"), F.col("c2")], F.col("weight"), "hi", key).withColumn("lo", F.col("hi") - F.col("weight"))
+    rows = ranged.join(facts, key).withColumn("bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1)))).drop("total", "tasks")
+    asked = tasks.join(facts, key).withColumn("at", _target(F.col("total"), seed, mixed))
+    asked = asked.withColumn("bucket", bucket(F.col("at"))).drop("total", "tasks")
+    return asked.join(rows, [*key, "bucket"]).where("at >= lo and at < hi")
+
+
+def occurrences(sampled: DataFrame, adj: DataFrame | Callable[[DataFrame], DataFrame], tables: dict[int, DataFrame], k: int, seed: int = 0, mixed: bool = False) -> DataFrame:
     """`sample`, `pos`, `v`: for each sampled tree one of its places in the graph, in proportion to their number.
 
     A tree at u splits into its first child, at a neighbour, and the rest, at u. Candidates are found once for
     each distinct tree at a vertex, and each sample picks the one that its number falls on. A child stands
-    behind its root and before the rest; at most k - 1 rounds.
+    behind its root and before the rest; at most k - 1 rounds. `adj` may be a function from vertices (`v`) to their
+    rows of the adjacency, which then is never made as a whole.
     """
     spark = sampled.sparkSession
     dim = F.broadcast(treelets.dimension(spark, k).drop("k", "repr"))
@@ -84,6 +110,7 @@ def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame]
     for _ in range(k - 1):
         tasks = tasks.where("s <> 0")
         wanted = tasks.select("v", "s", "c").distinct().join(dim, "s")
+        near = settled(adj(tasks.select("v").distinct())) if callable(adj) else adj
         options = None
         for j in range(1, k):
             part = wanted.where(F.col("split_k") == j)
@@ -91,12 +118,10 @@ def occurrences(sampled: DataFrame, adj: DataFrame, tables: dict[int, DataFrame]
                 x = tables[rest].select("v", F.col("s").alias("comp_s"), F.col("c").alias("c1"), F.col("n").alias("n1"))
                 y = tables[j].select(F.col("v").alias("w"), F.col("s").alias("split_s"), F.col("c").alias("c2"), F.col("n").alias("n2"))
                 left = part.where(F.col("comp_k") == rest).join(x, ["v", "comp_s"]).where("(c1 & c) = c1").withColumn("c2", F.expr("c ^ c1"))
-                made = left.join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").join(y, ["w", "split_s", "c2"])
+                made = left.join(near.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").join(y, ["w", "split_s", "c2"])
                 made = made.select("v", "s", "c", "w", "c1", "c2", "comp_s", "split_s", "split_k", (F.col("n1") * F.col("n2")).alias("weight"))
                 options = made if options is None else options.unionByName(made)
-        way = Window.partitionBy("v", "s", "c").orderBy("w", "c2")
-        ranged = options.withColumn("hi", F.sum("weight").over(way.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(Window.partitionBy("v", "s", "c")))
-        picked = tasks.join(ranged, ["v", "s", "c"]).withColumn("at", _target(F.col("total"), seed, mixed)).where("at >= hi - weight and at < hi")
+        picked = _picked(tasks, options, seed, mixed)
         picked = settled(picked.select("sample", "v", "w", "q", "c1", "c2", "comp_s", "split_s", "split_k"))
         placed = placed.unionByName(picked.select("sample", F.col("q").alias("pos"), F.col("w").alias("v")))
         child = picked.select("sample", F.col("w").alias("v"), F.col("split_s").alias("s"), F.col("c2").alias("c"), (F.col("q") + 1).alias("q"))
@@ -116,14 +141,25 @@ def star_weights(adj: DataFrame, k: int) -> DataFrame:
 def sampled_stars(spark: SparkSession, adj: DataFrame, roots: DataFrame, n: int, k: int, total: int, b: int = B) -> DataFrame:
     """`sample`, `pos`, `v`: centres in proportion to their stars (`roots` has `v`, `lo`, `hi`), and k - 1 neighbours.
 
-    The neighbours are the first ones of an order that a hash gives for each sample.
+    The neighbours are the first ones of an order that a hash gives for each sample: the circle of their hashes from a
+    start of its own. So the neighbours of drawn centres are numbered once, and samples look up k - 1 numbers.
     """
-    centres = located(draws(spark, n, total, b), roots, total).select("sample", "v")
-    near = centres.join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
-    place = F.pmod(F.pmod(F.col("w"), F.lit(1 << 31)) * A + F.col("sample") * STEP_SAMPLE, F.lit(4294967296))
-    order = Window.partitionBy("sample").orderBy(place, "w")
-    leaves = near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k - 1)
-    return centres.select("sample", F.lit(0).alias("pos"), "v").unionByName(leaves.select("sample", "pos", F.col("w").alias("v")))
+    centres = settled(located(draws(spark, n, total, b), roots, total, n).select("sample", "v"))
+    placed = centres.select("sample", F.lit(0).alias("pos"), "v")
+    if k < 2:
+        return placed
+    near = centres.select("v").distinct().join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
+    at = F.pmod(F.pmod(F.col("w"), F.lit(1 << 31)) * A, F.lit(CIRCLE))
+    start = F.pmod(F.lit(CIRCLE) - F.pmod(F.col("sample") * STEP_SAMPLE, F.lit(CIRCLE)), F.lit(CIRCLE))
+    none = F.lit(None).cast("long")
+    stops = near.select("v", at.alias("at"), F.lit(1).cast("long").alias("leaf"), "w", none.alias("sample"))
+    stops = stops.unionByName(centres.select("v", start.alias("at"), F.lit(0).cast("long").alias("leaf"), none.alias("w"), "sample"))
+    stops = settled(running(stops, [F.col(c) for c in ("at", "leaf", "w", "sample")], F.col("leaf"), "until", ["v"]))
+    numbers = stops.where("leaf = 1").select("v", (F.col("until") - 1).alias("number"), "w")
+    degrees = numbers.groupBy("v").agg(F.count("*").alias("degree"))
+    asked = stops.where("leaf = 0").join(degrees, "v").withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(k - 1)))).where("pos <= degree")
+    asked = asked.select("v", "sample", "pos", F.pmod(F.col("until") + F.col("pos") - 1, F.col("degree")).alias("number"))
+    return placed.unionByName(asked.join(numbers, ["v", "number"]).select("sample", "pos", F.col("w").alias("v")))
 
 
 def star_share(samples: int, stars: float, trees_over_p: float, k: int) -> int:

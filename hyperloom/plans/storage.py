@@ -19,18 +19,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows up to this one, in an order without ties.
+def running(df: DataFrame, order: list[Column], value: Column, name: str, within: list[str] | None = None) -> DataFrame:
+    """`df` with the sum of `value` over all rows up to this one, in an order without ties; with `within`, apart for each value of these columns.
 
-    Rows are dealt by ranges; each range sums its own, and a row per range carries the sums before it.
+    Rows are dealt by ranges, so a hot key is spread over tasks; each range sums its own, and what a key has in the
+    ranges before is carried by at most one row for each range.
     """
-    dealt = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_own"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("_run", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_run")).drop("_part", "_run", "_before")
-
-
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """`df` with the position of each row, from 0, in an order without ties."""
-    return running(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
+    keys = within or []
+    dealt = settled(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_own"))
+    way = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.sum("_own").over(way)).where("_before is not null").select(*keys, "_part", "_before")
+    own = F.sum(value).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    carried = dealt.withColumn("_run", own).join(F.broadcast(before), [*keys, "_part"], "left")
+    return carried.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_run")).drop("_part", "_run", "_before")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, within: list[str] | None = None) -> DataFrame:
+    """`df` with the position of each row, from 0, in an order without ties; with `within`, apart for each value of these columns."""
+    return running(df, order, F.lit(1).cast("long"), name, within).withColumn(name, F.col(name) - 1)

@@ -196,3 +196,34 @@ def test_shards(spark):
     with pytest.raises(ValueError):
         tables.merged_shards(t, t)
     assert tables.statistics(t).first()["fits_64"]
+
+
+@pytest.mark.parametrize("until", [0, 1, 2, 3, 40, 63, 64, 65, 100])
+def test_costs_of_places_are_exact(spark, until):
+    got = spark.range(1).select(threshold._powers(F.lit(until).cast("long")).alias("x")).first()["x"]
+    assert int(got) == sum(0 if p < 2 else 2**p if p < 64 else int(threshold.SATURATED) for p in range(until))
+
+
+def test_running_sums_within_keys_over_ranges(spark):
+    from hyperloom.plans.storage import running
+
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, id % 7, 99) as key", "id", "id % 11 as x").repartition(16)
+    want: dict = {}
+    for key, i, x in sorted((99 if i % 3 else i % 7, i, i % 11) for i in range(3000)):
+        want.setdefault(key, {})[i] = x + (list(want[key].values())[-1] if want.get(key) else 0)
+    got = running(df, [F.col("id")], F.col("x"), "sum", ["key"]).collect()
+    assert len(got) == 3000 and all(want[r["key"]][r["id"]] == r["sum"] for r in got)
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_star_leaves_follow_the_circle_of_hashes(spark, k):
+    near = {7: [1, 2, 3, 1 << 33, 12345678901], 8: [1, 5, 9, 11, 13, 15]}
+    adj = spark.createDataFrame([(u, v) for u, vs in near.items() for v in vs], "u long, v long")
+    roots = spark.createDataFrame([(7, 0, 30), (8, 30, 100)], "v long, lo long, hi long")
+    found: dict = {}
+    for r in sampling.sampled_stars(spark, adj, roots, 50, k, 100).collect():
+        found.setdefault(r["sample"], {})[r["pos"]] = r["v"]
+    assert len(found) == 50 and {at[0] for at in found.values()} == {7, 8}
+    for sample, at in found.items():
+        order = sorted(near[at[0]], key=lambda w: (((w % 2**31) * sampling.A + sample * sampling.STEP_SAMPLE) % 2**32, w))
+        assert [at[i] for i in range(1, k)] == order[: k - 1]
