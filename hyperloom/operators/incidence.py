@@ -101,6 +101,15 @@ def exclude_pairs(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     return adj.join(both_ways(pairs), ["u", "v"], "left_anti")
 
 
+def neighbours_of(vertices: DataFrame, near: DataFrame, high: DataFrame) -> DataFrame:
+    """The rows of the whole adjacency at the given vertices, from `near`, the adjacency of small hyperedges, and the
+    large hyperedges' incidence: only the pairs of these vertices are made."""
+    asked = vertices.select(F.col("v").alias("u")).distinct()
+    small = near.join(asked, "u", "left_semi").select("u", "v")
+    large = asked.join(high.select(F.col("v").alias("u"), "e"), "u").join(high, "e").where("u <> v").select("u", "v")
+    return small.union(large).distinct()
+
+
 def gaifman_bounds(inc: DataFrame, max_edge_size: int = 0) -> DataFrame:
     """An upper bound of the pairs, from sizes alone."""
     sizes = edge_sizes(inc).where("size >= 2")

@@ -17,6 +17,8 @@ from hyperloom.plans.storage import settled
 
 #: Members of all sets of one level; beyond that the plan goes by pairs instead, with the same result.
 MOST_MEMBERS = 50_000_000
+#: Rows of the join that makes a level, for each of these members.
+JOINED = 20
 
 
 def first_level(inc: DataFrame) -> DataFrame:
@@ -33,10 +35,15 @@ def next_level(level: DataFrame, inc: DataFrame) -> DataFrame:
 
 
 def levels(inc: DataFrame, most: int = MOST_MEMBERS) -> list[DataFrame] | None:
-    """All levels until one is empty; None if one has more members than `most`."""
+    """All levels until one is empty; None if one has more members than `most`, or if the join that makes the next
+    one has more rows than that, which is counted before from the hyperedges at each vertex."""
     out, level = [], settled(first_level(inc))
+    degrees = inc.groupBy("v").agg(F.count("*").alias("degree"))
     while n := level.count():
-        if n > most:
+        made = level.groupBy("v").agg(F.count("*").alias("sets")).join(degrees, "v")
+        # a set that ends in a vertex's i-th hyperedge of d grows d - i times; of level 1 that is d(d - 1)/2 for each vertex
+        grown = F.expr("degree * (degree - 1) div 2" if not out else "sets * degree")
+        if n > most or made.agg(F.sum(grown.cast("decimal(38,0)"))).first()[0] > most * JOINED:
             return None
         out.append(level)
         level = settled(next_level(level, inc))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hyperloom.functions import graphlets
+from hyperloom.functions import graphlets, treelets
 
 
 def traces(placed: DataFrame, inc: DataFrame, k: int) -> DataFrame:
@@ -47,6 +47,13 @@ def induced_bits(placed: DataFrame, adj: DataFrame, k: int) -> DataFrame:
     return placed.select("sample").distinct().join(bits, "sample", "left").select("sample", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
 
 
+def tree_bits(sampled: DataFrame, k: int) -> DataFrame:
+    """`sample` and `bits`: the number of the graph that has the edges of the sampled tree alone, at its positions."""
+    rows = [(s, graphlets.code_of(treelets.edges(s), k)) for s in treelets.trees(k)]
+    codes = sampled.sparkSession.createDataFrame(rows, "s long, bits long")
+    return sampled.join(F.broadcast(codes), "s").select("sample", "bits")
+
+
 def class_of_three(masks: Column) -> Column:
     """The class of three connected vertices: whether one trace has all, and how many have two."""
     whole = F.array_contains(masks, F.lit(7))

@@ -410,6 +410,39 @@ def rooted_occurrence(spark, sf_dir):
     return _placed(spark, sf_dir)[1]
 
 
+@query
+def rooted_occurrence_split(spark, sf_dir):
+    """The same samples from small and large hyperedges apart: pairs of large ones are made at sampled vertices only."""
+    inc = basket(spark, sf_dir)
+    low, high = (settled(x) for x in _sides(spark, sf_dir))
+    near = settled(incidence.gaifman(low))
+    made = build.from_split(inc, 3, T_SPLIT)
+    drawn = settled(sampling.sampled_treelets(spark, tables.distribution(made[3]), SAMPLES, _total(made[3])))
+    return sampling.occurrences(drawn, lambda vertices: incidence.neighbours_of(vertices, near, high), made, 3)
+
+
+@query
+def side_masses(spark, sf_dir):
+    """What neighbours over small hyperedges alone, and those over large ones, have of each color."""
+    low, high = (settled(x) for x in _sides(spark, sf_dir))
+    near, singles = incidence.exclude_pairs(incidence.gaifman(low), incidence.overlap_pairs(low, high)), settled(counting.singles(_colors(spark, sf_dir)))
+    small = counting.neighbour_sums(near, singles).withColumnRenamed("n", "low")
+    large = inclusion_exclusion.neighbour_sums_by_sets(high, singles).withColumnRenamed("n", "high")
+    return small.join(large, ["v", "s", "c"], "full_outer").select("v", "s", "c", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("low", "high")))
+
+
+@query
+def tree_mode_bits(spark, sf_dir):
+    return motifs.tree_bits(_drawn(spark, sf_dir)[2], 3)
+
+
+@query
+def selective_sample(spark, sf_dir):
+    """Draws from the stars alone."""
+    stars = settled(tables.selected(_counts(spark, sf_dir)[1][3], {treelets.star(3)}, True))
+    return sampling.sampled_treelets(spark, tables.distribution(stars), SAMPLES, _total(stars))
+
+
 @query
 def traces(spark, sf_dir):
     placed = _placed(spark, sf_dir)[1]

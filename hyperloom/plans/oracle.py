@@ -211,3 +211,15 @@ SQL: dict[str, str] = {
     "treelet_dimension": "SELECT * FROM (VALUES (2, CAST(1 AS BIGINT)), (3, 2), (4, 4), (5, 9)) t(k, trees)",
 }
 SQL["rescaled_estimates"] = f"SELECT footprint, samples, est_occurrences * 0.5 AS est_occurrences FROM ({SQL['estimate_occurrences']})"
+SQL["rooted_occurrence_split"] = SQL["rooted_occurrence"]
+SQL["side_masses"] = _with(
+    f"{SIDES}, {counts(3, 1)}, {_adj('hadj', 'hp')}, apart AS (SELECT * FROM lp EXCEPT SELECT * FROM hp), {_adj('ladj', 'apart')}, "
+    "sums AS (SELECT a.u AS v, s, c, n AS low, 0 AS high FROM ladj a JOIN c1 t ON a.v = t.v UNION ALL SELECT a.u, s, c, 0, n FROM hadj a JOIN c1 t ON a.v = t.v)",
+    "SELECT v, s, c, CAST(sum(low) AS BIGINT) AS low, CAST(sum(high) AS BIGINT) AS high FROM sums GROUP BY v, s, c",
+)
+#: Of trees of three, the star has the edges (0, 1) and (0, 2), and the path (0, 1) and (1, 2).
+SQL["tree_mode_bits"] = _with(_drawn(SAMPLES, _B), f"SELECT sample, CAST(CASE s WHEN {treelets.star(3)} THEN 6 ELSE 5 END AS BIGINT) AS bits FROM drawn")
+SQL["selective_sample"] = _with(
+    f"{DP3}, stars AS (SELECT * FROM c3 WHERE s = {treelets.star(3)}), {DIST.replace('FROM c3', 'FROM stars')}, {_draws('draws', SAMPLES, _B, 'stars')}",
+    "SELECT sample, v, s, c, n FROM draws JOIN dist ON r >= lo AND r < hi",
+)

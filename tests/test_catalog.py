@@ -6,7 +6,7 @@ import pytest
 from hyperloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["incidence", "gaifman", "exclude_pairs", "dedup_edges", "alpha_cost", "best_alpha", "coloring_biased", "c3", "store0_c3", "selector_exclude", "ie_level1", "prefix_cdf", "rooted_occurrence", "gaifman_bits", "estimate_occurrences", "star_sample", "exact_census_k3", "decompose_path", "count_lookup", "sums_at_vertices", "rescaled_estimates"]
+SOME = ["incidence", "gaifman", "exclude_pairs", "dedup_edges", "alpha_cost", "best_alpha", "coloring_biased", "c3", "store0_c3", "selector_exclude", "ie_level1", "prefix_cdf", "rooted_occurrence", "gaifman_bits", "estimate_occurrences", "star_sample", "exact_census_k3", "decompose_path", "count_lookup", "sums_at_vertices", "rescaled_estimates", "rooted_occurrence_split", "side_masses", "tree_mode_bits", "selective_sample"]
 
 
 @pytest.fixture(scope="module")

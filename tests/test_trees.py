@@ -1,4 +1,5 @@
 import random
+from itertools import combinations, permutations
 
 import pytest
 from hypothesis import given
@@ -93,6 +94,47 @@ def test_canonical_forms_do_not_depend_on_numbers():
         assert graphlets.canonical_graph(code, 4) == graphlets.canonical_graph(moved, 4)
 
 
+def test_canonical_forms_are_the_greatest_of_all_numberings():
+    rng = random.Random(3)
+    for k in (1, 2, 3, 4, 5):
+        orders = list(permutations(range(k)))
+        for _ in range(40):
+            code = rng.getrandbits(graphlets.pair_count(k))
+            pairs = graphlets.edges_of(code, k)
+            assert graphlets.canonical_graph(code, k) == max(graphlets.code_of([(o[a], o[b]) for a, b in pairs], k) for o in orders)
+            traces = tuple(sorted({rng.randrange(1, 1 << k) for _ in range(rng.randrange(2 * k))}))
+            moved = (tuple(sorted((sum(1 << (k - 1 - o[v]) for v in range(k) if t >> (k - 1 - v) & 1) for t in traces), reverse=True)) for o in orders)
+            assert graphlets.canonical_traces(traces, k) == max(moved)
+
+
+@pytest.mark.parametrize("k", [10, 12, 16])
+def test_canonical_forms_of_many_vertices(k):
+    rng = random.Random(k)
+    circle = [(i, (i + 1) % k) for i in range(k)]
+    for pairs in (circle, list(combinations(range(k), 2)), [(0, i) for i in range(1, k)], [p for p in combinations(range(k), 2) if rng.random() < 0.4]):
+        order = rng.sample(range(k), k)
+        moved = [(order[a], order[b]) for a, b in pairs]
+        assert graphlets.canonical_graph(graphlets.code_of(pairs, k), k) == graphlets.canonical_graph(graphlets.code_of(moved, k), k)
+
+
+def test_canonical_traces_of_eight_vertices():
+    rng = random.Random(8)
+    for n in (3, 6, 12, 28):
+        traces = rng.sample(range(3, 256), n)
+        order = rng.sample(range(8), 8)
+        moved = [sum(1 << (7 - order[v]) for v in range(8) if t >> (7 - v) & 1) for t in traces]
+        assert graphlets.canonical_traces(tuple(sorted(traces)), 8) == graphlets.canonical_traces(tuple(sorted(moved)), 8)
+
+
+def test_homomorphisms_equal_all_numberings():
+    rng = random.Random(4)
+    for k in (2, 3, 4, 5):
+        for s in treelets.trees(k):
+            code = rng.getrandbits(graphlets.pair_count(k))
+            near = {p for a, b in graphlets.edges_of(code, k) for p in ((a, b), (b, a))}
+            assert graphlets.homomorphisms(s, code, k) == sum(all((o[a], o[b]) in near for a, b in treelets.edges(s)) for o in permutations(range(k)))
+
+
 def test_texts_round_trip():
     for code in (0, 1, 37, 63):
         assert graphlets.code_of_footprint(graphlets.text_footprint(code, 4), 4) == code
