@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyperloom.functions import graphlets, treelets
+from hyperloom.operators import triangles
+from hyperloom.plans.storage import settled
 
 
 def traces(placed: DataFrame, inc: DataFrame, k: int) -> DataFrame:
@@ -124,31 +128,44 @@ def homomorphisms(df: DataFrame, structure: int, bits: str, k: int, name: str =
     return df.withColumn(name, count(bits))
 
 
+def _repeated_threes(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """Sets of three within a hyperedge of which two vertices share another one: by `pairs`, as in `census_of_three`, `n` and how often hyperedges have them, `times`."""
+    many = near.select("u", F.inline("many"))
+    ends = many.select(F.explode(F.array("u", "v")).alias("v")).distinct()
+    some = edges.select("e", F.explode("vs").alias("v")).join(ends, "v", "left_semi")
+    listed = some.groupBy("e").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    held = triangles.edge_pairs(listed).join(many, ["u", "v"])
+    thirds = held.join(edges, "e").select("e", "u", "v", "shared", F.explode("vs").alias("w")).where("w <> u and w <> v")
+    before, after = F.col("w") < F.col("u"), F.col("w") > F.col("v")
+    keys = [F.least("u", "w").alias("x"), F.when(before, F.col("u")).when(after, F.col("v")).otherwise(F.col("w")).alias("y"), F.greatest("v", "w").alias("z")]
+    sides = {"xy": after, "xz": ~before & ~after, "yz": before}
+    once = thirds.groupBy(*keys, "e").agg(*(F.max(F.when(at, F.col("shared"))).alias(c) for c, at in sides.items()))
+    threes = once.groupBy("x", "y", "z").agg(F.count("*").alias("xyz"), *(F.max(c).alias(c) for c in sides))
+    pairs = sum((F.when(F.col(c) > F.col("xyz"), 1).otherwise(0) for c in sides), F.lit(0))
+    return threes.groupBy(pairs.alias("pairs")).agg(F.count("*").alias("n"), F.sum("xyz").alias("times"))
+
+
 def census_of_three(inc: DataFrame) -> DataFrame:
     """All connected sets of three vertices by class, exactly: `whole` (one trace has all), `pairs`, `n`.
 
-    Open ones are counted from degrees. Triangles are found along edges from the vertex of less degree; a pair
-    has a trace of its own if it shares more hyperedges than the three together do.
+    Open ones are counted from degrees, and triangles in cells (see `triangles`). A pair has a trace of its own if it
+    shares more hyperedges than the three together do; so of sets within a hyperedge only those with a pair that shares
+    two or more are listed, as all others are whole, without pairs and in one hyperedge only. Triangles that no
+    hyperedge has whole have three pairs.
     """
-    from hyperloom.operators.incidence import both_ways, shared_edges
-
-    shared = shared_edges(inc)
-    adj = both_ways(shared)
-    degree = adj.groupBy("u").agg(F.count("*").alias("d"))
-    wedges = degree.agg(F.coalesce(F.sum(F.expr("d * (d - 1) div 2")), F.lit(0)).alias("wedges"))
-    ranked = shared.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
-    first = F.expr("du < dv or (du = dv and u < v)")
-    turned = ranked.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("y"), "shared")
-    ab, ac = turned.toDF("x", "y", "xy"), turned.toDF("x", "z", "xz")
-    closing = shared.toDF("p", "q", "yz")
-    found = ab.join(ac, "x").where("y < z").join(closing, (F.col("y") == F.col("p")) & (F.col("z") == F.col("q"))).select("x", "y", "z", "xy", "xz", "yz")
-    keyed = found.withColumn("t", F.sort_array(F.array("x", "y", "z")))
-    members = inc.groupBy("e").agg(F.sort_array(F.collect_list("v")).alias("vs")).where("size(vs) >= 3")
-    threes = members.select(F.posexplode("vs").alias("i", "a"), "vs").select("a", F.posexplode(F.expr("slice(vs, i + 2, size(vs))")).alias("j", "b"), F.expr("slice(vs, i + 2, size(vs))").alias("rest"))
-    threes = threes.select("a", "b", F.explode(F.expr("slice(rest, j + 2, size(rest))")).alias("c")).groupBy(F.array("a", "b", "c").alias("t")).agg(F.count("*").alias("xyz"))
-    judged = keyed.join(threes, "t", "left").withColumn("all3", F.coalesce("xyz", F.lit(0)))
-    pairs = sum((F.when(F.col(c) > F.col("all3"), 1).otherwise(0) for c in ("xy", "xz", "yz")), F.lit(0))
-    closed = judged.select((F.col("all3") > 0).alias("whole"), pairs.alias("pairs")).groupBy("whole", "pairs").agg(F.count("*").alias("n"))
-    triangles = closed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triangles"))
-    opened = wedges.crossJoin(triangles).select(F.lit(False).alias("whole"), F.lit(2).alias("pairs"), (F.col("wedges") - 3 * F.col("triangles")).alias("n"))
-    return closed.unionByName(opened).where("n > 0")
+    edges = settled(triangles.ranked_edges(inc))
+    size = F.size("vs").cast("long").alias("size")
+    sums = edges.select(size).agg(F.sum(F.expr("size * (size - 1) div 2")), F.sum(F.expr("size * (size - 1) * (size - 2) div 6")))
+    bound, threes = (x or 0 for x in sums.first())
+    near = settled(triangles.neighbours(edges))
+    parts = {"open": triangles.wedges(near), "closed": triangles.triangles(near, bound), "whole": _repeated_threes(edges, near)}
+    alike = [df.select(F.lit(part).alias("part"), *(F.col(c).cast("long") if c in df.columns else F.lit(0).cast("long").alias(c) for c in ("pairs", "n", "times"))) for part, df in parts.items()]
+    found = {part: {} for part in parts}
+    times = 0
+    for part, pairs, n, often in reduce(DataFrame.unionByName, alike).collect():
+        found[part][pairs] = n or 0
+        times += often or 0
+    closed, whole = found["closed"][0], found["whole"]
+    whole[0] = whole.get(0, 0) + threes - times
+    rows = [(True, pairs, n) for pairs, n in whole.items()] + [(False, 3, closed - sum(whole.values())), (False, 2, found["open"][0] - 3 * closed)]
+    return inc.sparkSession.createDataFrame([r for r in rows if r[2]], "whole boolean, pairs int, n long")
