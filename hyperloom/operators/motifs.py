@@ -132,10 +132,10 @@ def _repeated_threes(edges: DataFrame, near: DataFrame) -> DataFrame:
     """Sets of three within a hyperedge of which two vertices share another one: by `pairs`, as in `census_of_three`, `n` and how often hyperedges have them, `times`."""
     many = near.select("u", F.inline("many"))
     ends = many.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-    some = edges.select("e", F.explode("vs").alias("v")).join(ends, "v", "left_semi")
+    some = edges.select("e", F.explode("vs").alias("v")).join(ends.hint("merge"), "v", "left_semi")
     listed = some.groupBy("e").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    held = triangles.edge_pairs(listed).join(many, ["u", "v"])
-    thirds = held.join(edges, "e").select("e", "u", "v", "shared", F.explode("vs").alias("w")).where("w <> u and w <> v")
+    held = triangles.edge_pairs(listed).join(many.hint("merge"), ["u", "v"])
+    thirds = held.join(edges.hint("merge"), "e").select("e", "u", "v", "shared", F.explode("vs").alias("w")).where("w <> u and w <> v")
     before, after = F.col("w") < F.col("u"), F.col("w") > F.col("v")
     keys = [F.least("u", "w").alias("x"), F.when(before, F.col("u")).when(after, F.col("v")).otherwise(F.col("w")).alias("y"), F.greatest("v", "w").alias("z")]
     sides = {"xy": after, "xz": ~before & ~after, "yz": before}

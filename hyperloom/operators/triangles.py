@@ -25,12 +25,13 @@ def ranked_edges(inc: DataFrame) -> DataFrame:
     """Hyperedges of two vertices or more as `e` and `vs`, their vertices' ranks in order.
 
     Vertices are ranked from 0 by the pairs that they are in, each hyperedge's counted, so that the greater neighbours
-    of one are at most the root of all such pairs.
+    of one are at most the root of all such pairs. Joins are by merging, as what grows must not be sent through the
+    driver, which Spark does where a compressed file makes it look small.
     """
-    sized = inc.join(edge_sizes(inc).where("size >= 2"), "e")
+    sized = inc.join(edge_sizes(inc).where("size >= 2").hint("merge"), "e")
     ranks = numbered(sized.groupBy("v").agg(F.sum(F.col("size") - 1).alias("w")), [F.col("w"), F.col("v")], "r")
     small = F.when(F.col("r") < 1 << 31, F.col("r")).otherwise(F.raise_error(F.lit("more than 2^31 vertices")).cast("long")).cast("int")
-    return inc.join(ranks.select("v", small.alias("r")), "v").groupBy("e").agg(F.sort_array(F.collect_list("r")).alias("vs"))
+    return inc.join(ranks.select("v", small.alias("r")).hint("merge"), "v").groupBy("e").agg(F.sort_array(F.collect_list("r")).alias("vs"))
 
 
 def edge_pairs(edges: DataFrame) -> DataFrame:

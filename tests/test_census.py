@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 from math import comb
 
@@ -43,6 +44,18 @@ def test_census_shuffles_pairs_and_no_threes(spark):
     assert written() - before < 200 * comb(300, 2)
 
 
+def test_census_sends_nothing_that_grows_through_the_driver(spark):
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed)}
+
+    before = set(plans())
+    assert motifs.census_of_three(spark.range(60).selectExpr("id div 3 as e", "id % 25 as v")).collect()
+    sent = [keys for i, plan in plans().items() if i not in before for keys in re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", plan)]
+    assert sent and all(re.fullmatch(r"_part#\d+", keys) for keys in sent)  # running sums: a row for each range
+
+
 def test_closed_paths_in_steps(monkeypatch):
     monkeypatch.setattr(triangles, "STEP", 4)
     left, right = [[1, 5, 9], [], [5, 9]], [[2, 6], [6], []]
